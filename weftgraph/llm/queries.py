@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, packing, token_count
+from . import decontaminate, near_dup, packing, token_count
 from .common import table
 
 TOKEN_LIMIT = 512
@@ -25,6 +25,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), path))
 
 
+def op4_minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.groups(table(spark, sf_dir, "documents"), shingle=3, over=85, under=100)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path, ranks = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("byte_bpe_50k.tiktoken")
     n = token_count.token_count(F.col("text"), path, ranks)
@@ -36,6 +40,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
         "op2_packing": op2_packing,
+        "op4_minhash_groups": op4_minhash_groups,
         "op5_token_counts": op5_token_counts,
     }
 
@@ -69,5 +74,30 @@ FROM docs LEFT JOIN words USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
 
+OP4_SQL = rf"""
+WITH RECURSIVE docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_ASCII}), '[^\x20\x09-\x0D]+') AS w FROM documents),
+sets AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + least(len(w), 3) - 1], ' ') AS s
+  FROM (SELECT doc_id, w, unnest(range(1, len(w) - least(len(w), 3) + 2)) AS i FROM docs WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared
+  FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+linked AS (
+  SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+  WHERE 100 * shared >= 85 * (x.n + y.n - shared)),
+edges AS (SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked),
+reach AS (
+  SELECT a AS node, b AS other FROM edges
+  UNION
+  SELECT r.node, e.b FROM reach r JOIN edges e ON r.other = e.a),
+lowest AS (SELECT node, min(other) AS low FROM reach GROUP BY node)
+SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles,
+  least(d.doc_id, coalesce(low, d.doc_id)) AS component_id, d.doc_id = least(d.doc_id, coalesce(low, d.doc_id)) AS kept
+FROM docs d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN lowest l ON l.node = d.doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL}
+    return {"op1_decontamination": OP1_SQL, "op4_minhash_groups": OP4_SQL}
