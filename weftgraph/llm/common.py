@@ -85,3 +85,31 @@ def components(edges: DataFrame) -> DataFrame:
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         tops.select("node", F.col("node").alias("component"))
     )
+
+
+class Memory(dict):
+    """Remembers what `make` gives for a key; the keys used last stay, at most 2 * most of them."""
+
+    def __init__(self, make, most: int = 300_000, longest: int = 64):
+        super().__init__()
+        self.make, self.most, self.longest, self.older = make, most, longest, {}
+
+    def __missing__(self, key: str):
+        value = self.older.get(key)
+        if value is None:
+            value = self.make(key)
+            if len(key) > self.longest:
+                return value
+        if len(self) >= self.most:
+            self.older = dict(self)
+            self.clear()
+        self[key] = value
+        return value
+
+
+def sampled(rows: DataFrame, doc_id: str, most: int, salt: str) -> DataFrame:
+    """About `most` rows at most, picked by a hash of doc_id; all of them if there are no more."""
+    n = rows.count()
+    if n <= most:
+        return rows
+    return rows.where(F.pmod(F.xxhash64(F.col(doc_id), F.lit(salt)), F.lit(1_000_000)) < int(1_000_000 * most / n))

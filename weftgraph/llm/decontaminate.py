@@ -23,6 +23,7 @@ named ones are not looked at, so clashing names do no harm.
 from __future__ import annotations
 
 import re
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -176,7 +177,7 @@ def contamination(
     """docs with one more column: struct of n_words, spans (hit words, half open) and items."""
     spark, out = docs.sparkSession, docs
     for k, items in enumerate(benchmark_blocks(benchmark, block_bytes)):
-        shared = spark.sparkContext.broadcast({"id": f"{id(docs)}-{into}-{k}-{len(items)}", "items": items})
+        shared = spark.sparkContext.broadcast({"id": uuid.uuid4().hex, "items": items})
         found = _finder(shared, window)(F.col(text))
         if k == 0:
             out = out.withColumn(into, found)
