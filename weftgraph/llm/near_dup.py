@@ -223,6 +223,16 @@ def _verified(size: int, over: int, under: int):
     return verify
 
 
+def _perhaps(base: DataFrame, clusters: DataFrame) -> DataFrame:
+    """The rows whose doc_id may be a node: by a bitmap of 2^26 bits, 16 MB at most, however many nodes."""
+    spot = F.pmod(F.xxhash64("node"), F.lit(1 << 26))
+    marks = clusters.select(F.shiftright(spot, 6).alias("word"), F.expr("1L << cast(pmod(xxhash64(node), 64) as int)").alias("bit"))
+    marks = stored(marks.groupBy("word").agg(F.bit_or("bit").alias("bits")), "marks")
+    here = F.shiftright(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 26)), 6).alias("word")
+    held = base.select("*", here).join(F.broadcast(marks), "word")
+    return held.where(F.expr("(bits >> cast(pmod(xxhash64(doc_id), 64) as int)) & 1L = 1L")).select(*base.columns)
+
+
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5,
            over: int = 80, under: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every document.
@@ -251,7 +261,8 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle:
     placed = placed.select(
         F.col("node").alias("id"), "component", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")
     )
-    texts = base.join(placed, base["doc_id"] == placed["id"]).join(classes.select("id", "digest"), "id")
+    some = _perhaps(base, clusters)  # so that texts without any candidate aren't shuffled
+    texts = some.join(placed, some["doc_id"] == placed["id"]).join(classes.select("id", "digest"), "id")
     met = texts.select("id", "component", "low", "high", "digest", "text").groupBy("component", "low", "high")
     links = stored(met.applyInPandas(_verified(shingle, over, under), "a long, b long"), "links")
     found = stored(components(links), "components")
