@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, lang_id, near_dup, packing, token_count, toxicity, url_filter
+from . import chat_format, decontaminate, embed_dedup, lang_id, near_dup, packing, token_count, toxicity, url_filter
 from .common import remainder, table
 
 TOKEN_LIMIT = 512
@@ -56,6 +56,10 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "found.score", predicted.alias("predicted"), F.size("found.offending").alias("n_offending"))
 
 
+def op6_embedding_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.groups(table(spark, sf_dir, "embeddings"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A page is labelled blocked if its id's label says low quality or toxic."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
@@ -76,6 +80,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_packing": op2_packing,
         "op4_minhash_groups": op4_minhash_groups,
         "op5_token_counts": op5_token_counts,
+        "op6_embedding_groups": op6_embedding_groups,
         "op7_url_filter": op7_url_filter,
         "op8_language": op8_language,
         "op9_toxicity": op9_toxicity,
@@ -137,5 +142,27 @@ FROM docs d LEFT JOIN sizes s ON s.doc_id = d.doc_id LEFT JOIN lowest l ON l.nod
 """
 
 
+OP6_SQL = """
+WITH RECURSIVE parts AS (
+  SELECT vec_id, label, embedding, unnest(embedding)::DOUBLE AS x FROM embeddings WHERE label IS NOT NULL),
+usable AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IN (
+    SELECT vec_id FROM parts GROUP BY vec_id HAVING bool_and(x IS NOT NULL AND isfinite(x)) AND sum(x * x) > 0)),
+linked AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM usable a JOIN usable b ON a.label = b.label AND a.vec_id < b.vec_id
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.93),
+edges AS (SELECT a, b FROM linked UNION ALL SELECT b, a FROM linked),
+reach AS (
+  SELECT a AS node, b AS other FROM edges
+  UNION
+  SELECT r.node, e.b FROM reach r JOIN edges e ON r.other = e.a),
+lowest AS (SELECT node, min(other) AS low FROM reach GROUP BY node),
+degree AS (SELECT a AS node, count(*) AS n FROM edges GROUP BY a)
+SELECT e.vec_id, CAST(coalesce(d.n, 0) AS BIGINT) AS n_links, least(e.vec_id, coalesce(low, e.vec_id)) AS component_id,
+  e.vec_id = least(e.vec_id, coalesce(low, e.vec_id)) AS kept
+FROM embeddings e LEFT JOIN lowest l ON l.node = e.vec_id LEFT JOIN degree d ON d.node = e.vec_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL, "op4_minhash_groups": OP4_SQL}
+    return {"op1_decontamination": OP1_SQL, "op4_minhash_groups": OP4_SQL, "op6_embedding_groups": OP6_SQL}
