@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontaminate, embed_dedup, lang_id, near_dup, packing, token_count, toxicity, url_filter
+from . import chat_format, decontaminate, embed_dedup, lang_id, lm_score, near_dup, packing, token_count, toxicity, url_filter
 from .common import remainder, table
 
 TOKEN_LIMIT = 512
@@ -29,6 +29,12 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.pieces(table(spark, sf_dir, "documents"), path))
 
 
+def op3_lattice_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, train = table(spark, sf_dir, "documents"), remainder(F.col("doc_id"), 10) != 0
+    found = lm_score.score(docs, train, public_tokenizers.path("piece_bpe_32k.model"))
+    return found.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_minhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.groups(table(spark, sf_dir, "documents"), shingle=3, over=85, under=100)
 
@@ -78,6 +84,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
         "op2_packing": op2_packing,
+        "op3_lattice_score": op3_lattice_score,
         "op4_minhash_groups": op4_minhash_groups,
         "op5_token_counts": op5_token_counts,
         "op6_embedding_groups": op6_embedding_groups,
