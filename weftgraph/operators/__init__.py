@@ -1 +1 @@
-
+"""Operators over DataFrames: mutations, folding, compaction, ranking, lookups."""

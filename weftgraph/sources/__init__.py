@@ -1 +1 @@
-
+"""Schemas, tables, the store and page readers."""

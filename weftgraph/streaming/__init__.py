@@ -1 +1 @@
-
+"""Streaming over the operation log."""
