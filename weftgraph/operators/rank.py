@@ -158,17 +158,16 @@ def communities(ids: DataFrame, edges: DataFrame, local: int = LOCAL_LINKS) -> D
 def connected(edges: DataFrame) -> DataFrame:
     """(node, component) of the nodes in edges (a, b): the smallest node of each component."""
     pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()
-    pairs, mark = written(pairs, "edges"), None
-    while True:
+    pairs = written(pairs, "edges")
+    while not pairs.isEmpty():
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
         large = written(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
         low = written(large.groupBy("u").agg(F.min("v").alias("m")), "low")
         hung = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         pairs = written(hung.unionByName(low.select("u", F.col("m").alias("v"))).where("u > v").distinct(), "small")
-        now = tuple(pairs.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-        if now == mark:
-            break
-        mark = now
+        n, starts = pairs.agg(F.count("*"), F.countDistinct("u")).first()
+        if n == starts and pairs.join(pairs.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
+            break  # every node hangs on the smallest one of its component
     tops = pairs.select(F.col("v").alias("node")).distinct()
     return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(tops.select("node", F.col("node").alias("component")))
