@@ -25,6 +25,7 @@ class QueryOptions:
     depth: int = 3
     max_seeds: int = 3
     budget: int = 2000
+    merged_flags: bool = False  # whether stubs and tombstones are told by the merged view, not the last compaction
 
 
 def query_terms(queries: DataFrame) -> DataFrame:
@@ -123,7 +124,8 @@ def search(queries: DataFrame, nodes: DataFrame, edges: DataFrame, segments: Dat
     base = nodes.where("in_base")
     arrival = expand(start, edges, hub_degree.select("node_key"), hubs, how.depth)
     top = arrival.groupBy("query_id").agg(F.max("arrival").alias("top"))
-    fused = arrival.join(top, "query_id").join(base.where("not base_stub and not base_tombstone"), "node_key")
+    shown = "not is_stub and not is_tombstone" if how.merged_flags else "not base_stub and not base_tombstone"
+    fused = arrival.join(top, "query_id").join(base.where(shown), "node_key")
     fused = fused.select("query_id", "node_key", (LEXICAL * F.col("arrival") / F.col("top") + STRUCTURE * F.col("permille") / 1000).alias("score"), "seed")
     new = fresh_scores(of, nodes, n_base)
     new_top = new.groupBy("query_id").agg(F.max("score").alias("top"))
