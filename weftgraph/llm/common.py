@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,6 +40,21 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+_HELD: dict[Any, Any] = {}
+
+
+def held(key: Any, make: Callable[[], Any]) -> Any:
+    """What `make` gives for a key, kept in this Python worker until another key is asked for.
+
+    Workers outlive stages; models and tables of operators that are done must not add up.
+    """
+    if key not in _HELD:
+        _HELD.clear()
+        gc.collect()
+        _HELD[key] = make()
+    return _HELD[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -88,7 +106,7 @@ def components(edges: DataFrame) -> DataFrame:
 class Memory(dict):
     """Remembers what `make` gives for a key; the keys used last stay, at most 2 * most of them."""
 
-    def __init__(self, make, most: int = 300_000, longest: int = 64):
+    def __init__(self, make, most: int = 100_000, longest: int = 64):
         super().__init__()
         self.make, self.most, self.longest, self.older = make, most, longest, {}
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import held, stored
 
 WINDOW = 10
 BLOCK_BYTES = 2 << 20
@@ -112,16 +112,9 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-_BUILT: dict = {}
-
-
 def _tables(shared, window: int):
     """The searchers of a broadcast block, built once in each Python worker."""
-    key = (shared.value["id"], window)
-    if key not in _BUILT:
-        _BUILT.clear()
-        _BUILT[key] = searchers(shared.value["items"], window)
-    return _BUILT[key]
+    return held((shared.value["id"], window), lambda: searchers(shared.value["items"], window))
 
 
 def _finder(shared, window: int):

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memory, sampled
+from .common import Memory, held, sampled
 
 FIT_ROWS, LEAST, LONGEST, UNKNOWN = 3000, 3, 4, "und"
 _WORD = re.compile(r"[^\W\d_]+")
@@ -62,7 +62,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for order in range(1, LONGEST + 1):
                     for gram in grams(word, order):
                         seen[order, lang, gram] += n
-        if len(seen) > 400_000:
+        if len(seen) > 150_000:
             yield out()
             seen.clear()
     if seen:
@@ -86,11 +86,11 @@ def fit(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: s
         for x, n in r["by"]:
             row[place[x]] += n
         tables[r["kind"]][r["gram"]] = row
-    for held in tables:
-        if held:
-            total = np.log(sum(held.values()))
-            for gram in held:
-                held[gram] = tuple((np.log(held[gram]) - total).tolist())
+    for one in tables:
+        if one:
+            total = np.log(sum(one.values()))
+            for gram in one:
+                one[gram] = tuple((np.log(one[gram]) - total).tolist())
     return {"languages": languages, "tables": tables}
 
 
@@ -99,15 +99,15 @@ class Scorer:
         self.languages, (words, *self.orders) = model["languages"], model["tables"]
         width = len(self.languages)
         self.known = len(words)
-        self.fallback = Memory(self._by_grams, 100_000)
+        self.fallback = Memory(self._by_grams, 50_000)
         self.place = {w: k for k, w in enumerate(words)}
         self.rows = np.array([*words.values(), (0.0,) * width]).reshape(-1, width)
 
     def _by_grams(self, word: str) -> tuple[float, ...]:
         for order in range(len(self.orders), 0, -1):
-            held = [x for g in grams(word, order) if (x := self.orders[order - 1].get(g))]
-            if held:
-                return tuple(sum(x) / len(held) for x in zip(*held, strict=True))
+            near = [x for g in grams(word, order) if (x := self.orders[order - 1].get(g))]
+            if near:
+                return tuple(sum(x) / len(near) for x in zip(*near, strict=True))
         return (0.0,) * len(self.languages)
 
     def predict(self, text: str) -> tuple[str, float]:
@@ -127,19 +127,12 @@ class Scorer:
         return self.languages[best], float(1 / np.exp(total - total[best]).sum())
 
 
-_SCORERS: dict = {}
-
-
 def language(text: Column, spark, model: dict) -> Column:
     """struct<lang_pred, score> of each text."""
     shared = spark.sparkContext.broadcast({"key": uuid.uuid4().hex, "model": model})
 
     def predict(texts: pa.Array) -> pa.Array:
-        key = shared.value["key"]
-        if key not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[key] = Scorer(shared.value["model"])
-        own = _SCORERS[key]
+        own = held(shared.value["key"], lambda: Scorer(shared.value["model"]))
         found = [own.predict(x.as_py() or "") for x in texts]
         return pa.StructArray.from_arrays(
             [pa.array([a for a, _ in found], pa.string()), pa.array([b for _, b in found], pa.float64())], ["lang_pred", "score"]

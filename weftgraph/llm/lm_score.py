@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import held, stored
 
 CLASSES, ROUNDS, HOT, CHARACTERS, START = 8, 2, 100_000, 1 << 16, "▁"
 _FLUSH, _CELLS = 300_000, 200_000
@@ -153,13 +153,8 @@ def estimated(found: np.ndarray, lattice: Lattice) -> np.ndarray:
     return out
 
 
-_LATTICES: dict[str, Lattice] = {}
-
-
 def lattice_of(path: str) -> Lattice:
-    if path not in _LATTICES:
-        _LATTICES[path] = Lattice(path)
-    return _LATTICES[path]
+    return held(("lattice", path), lambda: Lattice(path))
 
 
 # -- over DataFrames ------------------------------------------------------------------
@@ -221,24 +216,18 @@ def _likely(path: str, shared):
                 out[own] = forward([words[k] for k in own], lattice, log_p)[0]
             out[[k for k, w in enumerate(words) if not w]] = log_p[lattice.end]
             out = whole_word(_counts(batch, len(total)), total, distinct, out)
-            held = pa.array(list((out / math.log(10)).astype(np.float32)), pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), batch.column("a"), held], names=["word", "c", "a", "p"])
+            logs = pa.array(list((out / math.log(10)).astype(np.float32)), pa.list_(pa.float32()))
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), batch.column("a"), logs], names=["word", "c", "a", "p"])
 
     return likely
 
 
-_TABLES: dict = {}
-
-
 def _scored(shared, classes: int):
     """(row, text) to partial sums over the broadcast words, and the other words with their counts."""
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key = shared.value["key"]
-        if key not in _TABLES:
-            _TABLES.clear()
-            _TABLES[key] = {w: k for k, w in enumerate(shared.value["words"])}
-        place, base, known, p = _TABLES[key], shared.value["base"], shared.value["known"], shared.value["p"]
+        place = held(shared.value["key"], lambda: {w: k for k, w in enumerate(shared.value["words"])})
+        base, known, p = shared.value["base"], shared.value["known"], shared.value["p"]
         for batch in batches:
             tokens, n_known, bases, sums, rest, rest_n = [], [], [], [], [], []
             for raw in batch.column(1).cast(pa.binary()):
@@ -300,10 +289,10 @@ def score(docs: DataFrame, train: Column, path: str, doc_id: str = "doc_id", tex
     # frequent words: all those from the lowest power of two on from which there are at most `hot`
     power = F.floor(F.log2("a")).cast("int")
     steps = table.groupBy(power.alias("power")).count().orderBy(F.desc("power")).collect()
-    least, held = 63, 0
+    least, n_held = 63, 0
     for r in steps:
-        held += r["count"]
-        if held > hot:
+        n_held += r["count"]
+        if n_held > hot:
             break
         least = r["power"]
     common = table.where(power >= least).toArrow()

@@ -37,9 +37,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import held, stored
 
-CAPACITY, END_ID, MEMORY = 4096, 1, 300_000
+CAPACITY, END_ID, MEMORY = 4096, 1, 150_000
 
 # -- token ids ------------------------------------------------------------------------
 
@@ -141,13 +141,8 @@ def _latin(text: str) -> bool:
     return True
 
 
-_WORDS: dict[str, WordIds] = {}
-
-
 def word_ids(path: str) -> WordIds:
-    if path not in _WORDS:
-        _WORDS[path] = WordIds(path)
-    return _WORDS[path]
+    return held(("words", path), lambda: WordIds(path))
 
 
 def pieces(docs: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",

@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .common import held
+
 CHUNK, OVERLAP = 1 << 16, 1 << 9
 #: Characters that only some engines take for white space; neither side of a cut.
 _ODD = "\x1c\x1d\x1e\x1f᠎"
@@ -111,17 +113,12 @@ def count_tokens(text: str, own: Encoder, chunk: int = CHUNK, overlap: int = OVE
     return total + len(starts)
 
 
-_ENCODERS: dict[tuple, Encoder] = {}
-
-
 def token_count(text: Column, path: str, ranks: str | None = None, chunk: int = CHUNK, overlap: int = OVERLAP) -> Column:
     """Number of tokens of each text by the tokenizer file at path."""
 
     @F.arrow_udf("long")
     def count(texts: pa.Array) -> pa.Array:
-        if (path, ranks) not in _ENCODERS:
-            _ENCODERS[path, ranks] = Encoder(path, ranks)
-        own = _ENCODERS[path, ranks]
+        own = held(("tokens", path, ranks), lambda: Encoder(path, ranks))
         return pa.array([count_tokens(x.as_py() or "", own, chunk, overlap) for x in texts], pa.int64())
 
     return count(text)

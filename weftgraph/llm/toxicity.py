@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memory, sampled
+from .common import Memory, held, sampled
 
 FIT_ROWS, MOST_FEATURES, LEAST, STRENGTH, THRESHOLD = 8000, 4000, 7, 6.0, 0.7
 _TOKEN = re.compile(r"[^\W\d_]+|[.!?\n]")
@@ -68,7 +68,7 @@ def _present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             words = {w for s in sentences(text or "") for w in s}
             seen.update((f, label) for f in {f for w in words for f in features(w)})
-        if len(seen) > 400_000:
+        if len(seen) > 150_000:
             yield out()
             seen.clear()
     if seen:
@@ -80,11 +80,11 @@ def _bags(place: dict[str, int]):
 
     def bag(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = []
+            all_bags = []
             for text in batch.column(0).to_pylist():
                 own = ({place[f] for w in s for f in features(w) if f in place} for s in sentences(text or ""))
-                held.append([sorted(x) for x in own if x])
-            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(held, pa.list_(pa.list_(pa.int32())))], names=["label", "bags"])
+                all_bags.append([sorted(x) for x in own if x])
+            yield pa.RecordBatch.from_arrays([batch.column(1), pa.array(all_bags, pa.list_(pa.list_(pa.int32())))], names=["label", "bags"])
 
     return bag
 
@@ -118,11 +118,11 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     known = known.where(F.col("id").isNotNull() & F.col("label").isin(0, 1)).groupBy("id").agg(F.max("label").alias("label"))
     picked = sampled(known.where("label = 1"), "id", rows // 2, "toxic").unionByName(sampled(known.where("label = 0"), "id", rows // 2, "toxic"))
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    held = texts.join(F.broadcast(picked), "id").select("text", "label")  # about `rows` small rows at most
-    n = {r["label"]: r["count"] for r in held.groupBy("label").count().collect()}
+    joined = texts.join(F.broadcast(picked), "id").select("text", "label")  # about `rows` small rows at most
+    n = {r["label"]: r["count"] for r in joined.groupBy("label").count().collect()}
     if len(n) < 2:
         return {"weights": {}, "bias": 0.0, "leak": 0.0}
-    seen = held.mapInArrow(_present, "feature string, label int, n long").groupBy("feature").agg(
+    seen = joined.mapInArrow(_present, "feature string, label int, n long").groupBy("feature").agg(
         F.sum(F.col("n") * F.col("label")).alias("a"), F.sum(F.col("n") * (1 - F.col("label"))).alias("b")
     )
     rate_1, rate_0 = (F.col("a") + 0.5) / (n[1] + 1), (F.col("b") + 0.5) / (n[0] + 1)
@@ -131,7 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     chosen = seen.where((F.col("a") >= LEAST) & (rate_1 > 4 * rate_0)).withColumn("strength", strength).where(F.col("strength") > STRENGTH)
     chosen = [r["feature"] for r in chosen.orderBy(F.desc("strength"), "feature").limit(MOST_FEATURES).select("feature").collect()]
     place = {f: k for k, f in enumerate(chosen)}
-    bags = held.mapInArrow(_bags(place), "label int, bags array<array<int>>").toArrow()
+    bags = joined.mapInArrow(_bags(place), "label int, bags array<array<int>>").toArrow()
     if not chosen:
         return {"weights": {}, "bias": 0.0, "leak": 0.0}
     weights, bias, leak = train(bags["label"].to_numpy(), bags["bags"].to_pylist(), len(chosen))
@@ -163,19 +163,12 @@ class Scorer:
         return float(1 - clean), offending
 
 
-_SCORERS: dict = {}
-
-
 def toxicity(text: Column, spark, model: dict) -> Column:
     """struct<score, offending sentences> of each text."""
     shared = spark.sparkContext.broadcast({"key": uuid.uuid4().hex, "model": model})
 
     def score(texts: pa.Array) -> pa.Array:
-        key = shared.value["key"]
-        if key not in _SCORERS:
-            _SCORERS.clear()
-            _SCORERS[key] = Scorer(shared.value["model"])
-        own = _SCORERS[key]
+        own = held(shared.value["key"], lambda: Scorer(shared.value["model"]))
         found = [own.score(x.as_py() or "") for x in texts]
         kind = pa.list_(pa.struct([("sentence", pa.int32()), ("score", pa.float64())]))
         return pa.StructArray.from_arrays([pa.array([a for a, _ in found], pa.float64()), pa.array([b for _, b in found], kind)], ["score", "offending"])
