@@ -10,7 +10,8 @@
    adapts to each region. Rows of a small region are compared pairwise, rows of a large
    one with the rows next to them and with the row nearest to the region's majority. The
    comparison is of all minhashes, one byte each, far below the similarity asked for.
-   What compares well is joined into candidate clusters.
+   What compares well is joined into candidate clusters. Rows at the borders of the ranges
+   meet once more, region by region, so that no border parts what belongs together.
 4. Verification: the full sets of a cluster meet in groups of at most two blocks of
    ``BLOCK`` texts, every pair of blocks of a cluster once, so that every pair of a
    cluster is decided on its full sets and no group is unbounded. A group returns a
@@ -43,6 +44,7 @@ TREES, DEPTH, SHALLOW, REGION, NEXT, BLOCK = 10, 6, 2, 16, 4, 120
 #: Of the TREES * DEPTH minhashes, so many must agree: 0.6, for links of 0.8 and more.
 AGREE = 0.6
 _BUFFER = 40_000
+_NEAR = ["a", "b", "tree", "key", "signs"]
 _SIGNED = "doc_id long, n_shingles long, digest binary, signature binary, signs binary"
 
 
@@ -160,7 +162,11 @@ def candidates(tree: np.ndarray, keys: np.ndarray, signs: np.ndarray) -> np.ndar
 
 
 def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows (tree, key, id, signs) to candidate links (a, b)."""
+    """Sorted rows (tree, key, id, signs) to candidate links (a, b).
+
+    The first and the last 2 * REGION rows of the partition come out as well (tree, key, a, signs),
+    since the ranges next to it may hold more of their regions.
+    """
 
     def links(rows: pa.Table) -> pa.RecordBatch:
         n = rows.num_rows
@@ -168,17 +174,32 @@ def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids = rows["id"].to_numpy()
         to = candidates(rows["tree"].to_numpy(), raw("key", ">u4"), raw("signs", np.uint8))
         linked = np.flatnonzero(ids[to] != ids)
-        return pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(ids[to[linked]])], names=["a", "b"])
+        none = [pa.nulls(len(linked), kind) for kind in (pa.int32(), pa.binary(), pa.binary())]
+        return pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(ids[to[linked]]), *none], names=_NEAR)
+
+    def border(rows: pa.Table) -> list[pa.RecordBatch]:
+        none = pa.nulls(rows.num_rows, pa.int64())
+        columns = [rows["id"], none, rows["tree"].cast(pa.int32()), rows["key"].cast(pa.binary()), rows["signs"].cast(pa.binary())]
+        return pa.table(columns, names=_NEAR).to_batches()
 
     held: list[pa.RecordBatch] = []
+    first = True
     for batch in batches:
         held.append(batch)
         if sum(x.num_rows for x in held) >= _BUFFER:
             rows = pa.Table.from_batches(held)
             yield links(rows)
+            if first:
+                yield from border(rows.slice(0, 2 * REGION))
+                first = False
             held = rows.slice(rows.num_rows - 2 * REGION).to_batches()  # the last rows meet those that follow
     if held:
-        yield links(pa.Table.from_batches(held))
+        rows = pa.Table.from_batches(held)
+        yield links(rows)
+        n = rows.num_rows
+        if first and n > 4 * REGION:
+            yield from border(rows.slice(0, 2 * REGION))
+        yield from border(rows if first and n <= 4 * REGION else rows.slice(n - 2 * REGION))
 
 
 def linked_rows(sets: list[np.ndarray], over: int, under: int) -> np.ndarray:
@@ -251,8 +272,14 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle:
     key = F.expr(f"substring(signature, tree * {4 * DEPTH} + 1, {4 * DEPTH})")
     forest = trees.select("tree", key.alias("key"), "id", "signs")
     forest = forest.repartitionByRange(parts, "tree", "key", "id").sortWithinPartitions("tree", "key", "id")
-    near = stored(forest.mapInArrow(_forest, "a long, b long"), "near")
-    clusters = stored(components(near), "clusters")  # node, component
+    schema = "a long, b long, tree int, key binary, signs binary"
+    near = stored(forest.mapInArrow(_forest, schema), "near")
+    # regions that a border of ranges cuts: the rows at all borders meet by region
+    cut = near.where("b is null").select("tree", "key", F.col("a").alias("id"), "signs")
+    cut = cut.repartition(parts, "tree", F.expr(f"substring(key, 1, {4 * SHALLOW})")).sortWithinPartitions("tree", "key", "id")
+    across = stored(cut.mapInArrow(_forest, schema), "across")
+    both = near.unionByName(across).where("b is not null").select("a", "b")
+    clusters = stored(components(both), "clusters")  # node, component
 
     sizes = clusters.groupBy("component").agg(F.count("*").alias("size"))
     placed = clusters.join(sizes, "component").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
