@@ -5,9 +5,14 @@ leave is decided by association rules: Spark's FP-growth mines combinations of U
 tokens together with the label "blocked" from labelled URLs; rules pruned by support and
 confidence, and those that a more general rule makes redundant, block what they match.
 
-A URL has a bounded number of tokens (scheme, top-level domain, domain, host, the first
-two path segments with digits generalised, file extension, the first three query keys),
-so a very common URL cannot blow up the number of frequent combinations. Rules are
+Every part of a URL gives a token: scheme, top-level domain, domain, host, each label of
+the host, each path segment (the first two by place as well), file extension, each query
+key and each query value; digits of segments and values are generalised. Nothing of a URL
+is left out. FP-growth sees only tokens that rules may need, which changes no rule: not
+those too rare among blocked URLs, those of all URLs, those that block alone with
+certainty (a rule each), nor, of tokens that are always seen together, any but one; rules
+are written out for the others afterwards. What is left is held down by support alone: a
+common kind of URL with m tokens that come and go has up to 2^m combinations. Rules are
 matched through an inverted index (token -> rule) against the distinct token sets of the
 URLs, however many URLs share one; a written table of matched sets is joined back, which
 is small or else split by adaptive execution.
@@ -20,6 +25,8 @@ are not looked at.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -50,13 +57,12 @@ def listed(host: Column, path: Column, rules: list[tuple[str, str]]) -> Column:
 
 
 def tokens(url: Column) -> Column:
-    """Sorted distinct tokens, at most a dozen."""
+    """Sorted distinct tokens of all parts of a URL."""
     host, path = host_path(url)
     labels = F.split(F.regexp_replace(host, ":[0-9]*$", ""), r"\.")
     segments = F.filter(F.split(path, "/"), lambda x: x != "")
     general = lambda x: F.regexp_replace(x, "[0-9]+", "#")
-    query = F.regexp_extract(url, r"\?([^#]*)", 1)
-    keys = F.slice(F.array_sort(F.array_distinct(F.transform(F.filter(F.split(query, "&"), lambda x: x != ""), lambda x: F.regexp_extract(x, "^[^=]*", 0)))), 1, 3)
+    query = F.filter(F.split(F.regexp_extract(url, r"\?([^#]*)", 1), "&"), lambda x: x != "")
     parts = F.array(
         F.concat(F.lit("scheme="), F.regexp_extract(url, "^[^:]*", 0)),
         F.concat(F.lit("tld="), F.element_at(labels, -1)),
@@ -66,15 +72,34 @@ def tokens(url: Column) -> Column:
         F.concat(F.lit("second="), general(F.try_element_at(segments, F.lit(2)))),
         F.concat(F.lit("ending="), F.nullif(F.regexp_extract(path, r"\.([A-Za-z0-9]{1,5})$", 1), F.lit(""))),
     )
-    all_ = F.concat(F.filter(parts, lambda x: x.isNotNull()), F.transform(keys, lambda x: F.concat(F.lit("key="), x)))
+    all_ = F.concat(
+        F.filter(parts, lambda x: x.isNotNull()),
+        F.transform(F.filter(labels, lambda x: x != ""), lambda x: F.concat(F.lit("label="), x)),
+        F.transform(segments, lambda x: F.concat(F.lit("segment="), general(x))),
+        F.transform(query, lambda x: F.concat(F.lit("key="), F.regexp_extract(x, "^[^=]*", 0))),
+        F.transform(F.filter(query, lambda x: F.contains(x, F.lit("="))), lambda x: F.concat(F.lit("value="), general(x))),
+    )
     return F.when(host != "", F.array_sort(F.array_distinct(all_))).otherwise(F.array().cast("array<string>"))
 
 
 def mined(labelled: DataFrame, url: str = "url", blocked: str = "blocked", support: float = SUPPORT,
           confidence: float = CONFIDENCE, lift: float = LIFT) -> DataFrame:
     """rule (a number), antecedent, confidence, support of the rules that block."""
-    items = F.concat(tokens(F.col(url)), F.when(F.col(blocked), F.array(F.lit(BLOCKED))).otherwise(F.array().cast("array<string>")))
-    baskets = stored(labelled.where(F.col(blocked).isNotNull()).select(items.alias("items")).where(F.size("items") > 0), "baskets")
+    none = F.array().cast("array<string>")
+    rows = labelled.where(F.col(blocked).isNotNull()).select(tokens(F.col(url)).alias("tokens"), F.col(blocked).alias("blocked"))
+    rows = stored(rows.where("blocked or size(tokens) > 0").withColumn("id", F.xxhash64("tokens")), "labelled")
+    n, n_blocked = rows.agg(F.count("*"), F.count_if("blocked")).first()
+    sets = stored(rows.groupBy("id", "tokens").agg(F.count("*").alias("n"), F.count_if("blocked").alias("b")), "sets")
+    # what each token is in: two hashes over the sets tell which tokens are always together
+    held = sets.select("id", F.xxhash64("tokens", F.lit(1)).alias("more"), "n", "b", F.explode("tokens").alias("token"))
+    facts = held.groupBy("token").agg(F.sum("n").alias("n"), F.sum("b").alias("b"), F.bit_xor("id").alias("x"), F.bit_xor("more").alias("y"))
+    facts = stored(facts.where(F.col("b") >= max(1, math.ceil(support * n))), "tokens")  # at most tokens of a URL / support
+    classes = facts.where((F.col("b") < F.col("n")) & ((F.col("n") < n) | F.lit(lift <= 1)))
+    classes = stored(classes.groupBy("n", "b", "x", "y").agg(F.min("token").alias("token"), F.array_sort(F.collect_list("token")).alias("alike")).select("token", "alike"), "classes")
+    kept = sets.select("id", F.explode("tokens").alias("token")).join(F.broadcast(classes.select("token")), "token")
+    kept = stored(kept.groupBy("id").agg(F.array_sort(F.collect_list("token")).alias("kept")), "kept")
+    items = F.concat(F.coalesce("kept", none), F.when(F.col("blocked"), F.array(F.lit(BLOCKED))).otherwise(none))
+    baskets = stored(rows.select("id", "blocked").join(kept, "id", "left").select(items.alias("items")), "baskets")
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
     rules = model.associationRules.where((F.col("consequent")[0] == BLOCKED) & (F.col("lift") >= lift))
     named = F.array_sort("antecedent")
@@ -83,7 +108,16 @@ def mined(labelled: DataFrame, url: str = "url", blocked: str = "blocked", suppo
     index = rules.select("rule", "confidence", F.size("antecedent").alias("need"), F.explode("antecedent").alias("token"))
     wide = index.select(F.col("rule").alias("wider"), F.col("confidence").alias("sure"), F.col("need").alias("more"), "token")
     within = index.join(wide, "token").where("need < more and confidence >= sure").groupBy("rule", "need", "wider").count()
-    return rules.join(within.where("count = need").select(F.col("wider").alias("rule")).distinct(), "rule", "left_anti")
+    least = rules.join(within.where("count = need").select(F.col("wider").alias("rule")).distinct(), "rule", "left_anti")
+    # each token of a rule stands for all that are alike
+    index = least.select("rule", "confidence", "support", F.explode("antecedent").alias("token")).join(F.broadcast(classes), "token")
+    lists = index.groupBy("rule", "confidence", "support").agg(F.collect_list("alike").alias("lists"))
+    one = F.aggregate("lists", F.array(none), lambda done, alike: F.flatten(F.transform(done, lambda x: F.transform(alike, lambda t: F.concat(x, F.array(t))))))
+    out = lists.select(F.explode(one).alias("antecedent"), "confidence", "support")
+    alone = facts.where((F.col("b") == F.col("n")) & F.lit(confidence <= 1 and n >= lift * n_blocked))
+    alone = alone.select(F.array("token").alias("antecedent"), F.lit(1.0).alias("confidence"), (F.col("b") / F.lit(max(n, 1))).alias("support"))
+    out = out.unionByName(alone).withColumn("antecedent", F.array_sort("antecedent"))
+    return stored(out.select(F.xxhash64("antecedent").alias("rule"), "antecedent", "confidence", "support"), "rules")
 
 
 def matched(sets: DataFrame, rules: DataFrame) -> DataFrame:
