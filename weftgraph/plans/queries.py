@@ -212,6 +212,17 @@ def related(spark, d):
     return graph.related(edges_of(spark, d), nodes, nodes.where(F.col("node_key") % 10 == 0).select("node_key"), 5).select("node_key", "dst_key", F.round("score", 6).alias("score"), "place")
 
 
+def search_whole(spark, d):
+    """Lookup with hops, ranks and the default options. search_budget, its SQL's smaller job, makes no hop."""
+    nodes, edges = nodes_of(spark, d), written(edges_of(spark, d), "edges")
+    degree = written(rank.degrees(nodes, edges), "degree")
+    permille = written(rank.permille(rank.pagerank(nodes, edges), degree), "permille")
+    view = nodes.withColumns({"in_base": F.lit(True), "base_stub": F.col("is_stub"), "base_tombstone": F.col("is_tombstone")}).join(permille, "node_key")
+    none = spark.createDataFrame([], S.SEGMENTS)
+    hits = lookup.search(_searches(spark), view, edges, none, compact.postings(nodes, none), degree, rank.hub_threshold(degree), nodes.count())
+    return hits.select("query_id", "place", "node_key", F.round("score", 6).alias("score"), "seed", "cost")
+
+
 def neighbors(spark, d):
     return graph.neighbors(edges_of(spark, d), nodes_of(spark, d), 7).select("src_key", "dst_key", "dst_url", "etype", "weight")
 
@@ -337,7 +348,7 @@ def token_cost(spark, d):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        tokenize_df, lexical_search, seeds, edge_cap_dedupe, degrees, hub_threshold, stub_mint, stub_drop, pagerank, rank_permille, bfs_expand, search_budget, path, related, neighbors,
+        tokenize_df, lexical_search, seeds, edge_cap_dedupe, degrees, hub_threshold, stub_mint, stub_drop, pagerank, rank_permille, bfs_expand, search_budget, path, related, search_whole, neighbors,
         community_summary, surprises, compaction, ttl_fold, due, due_all, ops_fold, merge_view, live_count, crawl_seed, page_links, importance_prior, best_anchor, token_cost,
     )
 }
