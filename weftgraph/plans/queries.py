@@ -223,6 +223,21 @@ def search_whole(spark, d):
     return hits.select("query_id", "place", "node_key", F.round("score", 6).alias("score"), "seed", "cost")
 
 
+def path_whole(spark, d):
+    """From each supplier to the one as far from the other end of the keys. path takes ten keys alone."""
+    keys = _table(spark, d, "supplier").select(F.col("s_suppkey").alias("from_key"))
+    ends = keys.agg((F.min("from_key") + F.max("from_key")).alias("ends"))
+    pairs = keys.crossJoin(F.broadcast(ends)).select("from_key", (F.col("ends") - F.col("from_key")).alias("to_key"))
+    found = graph.path(edges_of(spark, d), pairs, 4)
+    return found.select("from_key", "to_key", F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path"))
+
+
+def related_whole(spark, d):
+    """For every node; related takes every tenth key alone."""
+    nodes = nodes_of(spark, d)
+    return graph.related(edges_of(spark, d), nodes, nodes.select("node_key"), 5).select("node_key", "dst_key", F.round("score", 6).alias("score"), "place")
+
+
 def neighbors(spark, d):
     return graph.neighbors(edges_of(spark, d), nodes_of(spark, d), 7).select("src_key", "dst_key", "dst_url", "etype", "weight")
 
@@ -348,7 +363,7 @@ def token_cost(spark, d):
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        tokenize_df, lexical_search, seeds, edge_cap_dedupe, degrees, hub_threshold, stub_mint, stub_drop, pagerank, rank_permille, bfs_expand, search_budget, path, related, search_whole, neighbors,
+        tokenize_df, lexical_search, seeds, edge_cap_dedupe, degrees, hub_threshold, stub_mint, stub_drop, pagerank, rank_permille, bfs_expand, search_budget, path, related, search_whole, path_whole, related_whole, neighbors,
         community_summary, surprises, compaction, ttl_fold, due, due_all, ops_fold, merge_view, live_count, crawl_seed, page_links, importance_prior, best_anchor, token_cost,
     )
 }
