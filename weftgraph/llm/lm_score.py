@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 
 from .common import held, stored
 
-CLASSES, ROUNDS, HOT, CHARACTERS, START = 8, 2, 100_000, 1 << 16, "▁"
+ROUNDS, HOT, CHARACTERS, START = 2, 100_000, 1 << 16, "▁"
 _FLUSH, _CELLS = 300_000, 200_000
 SMOOTH, DISCOUNT = 0.1, 0.75
 
@@ -254,9 +254,9 @@ def score(docs: DataFrame, train: Column, path: str, doc_id: str = "doc_id", tex
     """
     spark = docs.sparkSession
     named = docs.select(F.col(doc_id).alias("doc_id"), train.alias("train"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
-    sizes = {r["lang"]: r["count"] for r in named.where("train").groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(CLASSES).collect()}
-    own = [x for x in sizes if x is not None][: CLASSES - 1]
-    classes = len(own) + 1  # the last one has all others
+    sizes = {r["lang"]: r["count"] for r in named.where("train").groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()}
+    own = [x for x in sizes if x is not None]
+    classes = len(own) + 1  # the last one has those without lang
     kind = F.lit(classes - 1)
     for k, x in enumerate(own):
         kind = F.when(F.col("lang") == x, k).otherwise(kind)
