@@ -5,7 +5,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from weftgraph.llm import lm_score, near_dup, url_filter
+from weftgraph.llm import lang_id, lm_score, near_dup, url_filter
 
 
 @pytest.fixture
@@ -45,6 +45,13 @@ def test_rules_use_every_part_of_a_url(spark):
     assert {r["url"]: r["verdict"] for r in got.select("row.url", "verdict").collect()} == {u: "block" for u in urls} | {u: "allow" for u in fine}
 
 
+def test_rare_languages_are_learned(spark):
+    rows = [(k, f"common word{k % 7}", "aabb"[k % 2 * 2 :][:2]) for k in range(3000)]
+    rows += [(5000 + k, f"rare term{k}", f"r{k % 3}") for k in range(9)]
+    model = lang_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows=50, each=10)
+    assert model["languages"] == ["aa", "bb", "r0", "r1", "r2"]
+
+
 def test_each_language_has_its_own_distribution(spark):
     """Scores don't depend on how languages are called; with a cap the names said which are pooled."""
     dice = np.random.RandomState(10)

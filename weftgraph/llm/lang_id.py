@@ -5,7 +5,8 @@ there. A word never seen falls back to its character n-grams: the longest order,
 ``LONGEST`` down to one, of which the model knows any, scores by the mean logarithm of
 its known n-grams. A text's languages are compared by the sums over all its words.
 
-The model is fitted on a bounded sample of labelled rows: about ``FIT_ROWS`` rows,
+The model is fitted on a bounded sample of labelled rows: about ``FIT_ROWS`` rows, and of
+each language at least about ``FIT_EACH`` (all, if it has no more), so that none is missed,
 picked by a hash of their id, however many there are. Words and n-grams seen fewer than
 ``LEAST`` times in the sample are left to the fallback. Prediction reads nothing but the
 text, and all of it.
@@ -28,9 +29,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memory, held, sampled
+from .common import Memory, held
 
-FIT_ROWS, LEAST, LONGEST, UNKNOWN = 3000, 3, 4, "und"
+FIT_ROWS, FIT_EACH, LEAST, LONGEST, UNKNOWN = 3000, 750, 3, 4, "und"
 _WORD = re.compile(r"[^\W\d_]+")
 _SMOOTH = 0.5
 
@@ -69,10 +70,16 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-def fit(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = FIT_ROWS) -> dict:
+def fit(labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = FIT_ROWS, each: int = FIT_EACH) -> dict:
     """{languages, tables}; tables[0] has words, tables[n] n-grams, each gram with a log frequency per language."""
     known = labelled.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    known = sampled(known.where(F.col("lang").isNotNull()), "doc_id", rows, "language").where(F.col("text").isNotNull())
+    known = known.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    sizes = known.groupBy("lang").count().collect()  # as many as languages, which the model holds anyway
+    n = sum(r["count"] for r in sizes)
+    cuts = [(r["lang"], max(1, int(1_000_000 * max(rows / n, each / r["count"])))) for r in sizes]
+    cuts = labelled.sparkSession.createDataFrame(cuts, "lang string, cut long")
+    spot = F.pmod(F.xxhash64("doc_id", F.lit("language")), F.lit(1_000_000))
+    known = known.join(F.broadcast(cuts), "lang").where(spot < F.col("cut"))
     counted = known.select("text", "lang").mapInArrow(_counted, "kind int, lang string, gram string, n long")
     summed = counted.groupBy("kind", "gram", "lang").agg(F.sum("n").alias("n")).groupBy("kind", "gram").agg(
         F.sum("n").alias("total"), F.map_from_entries(F.collect_list(F.struct("lang", "n"))).alias("by")
