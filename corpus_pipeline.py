@@ -41,10 +41,19 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of similar ones."""
-    gone = stored(near_dup.groups(docs).where(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct(), "gone")
-    rows = _rows(docs)
-    return rows.join(gone, rows["doc_id"] == gone["gone"], "left_anti").select("row.*")
+    """Keeps of each group of similar rows the one with the smallest id.
+
+    Rows are judged one by one, whatever their ids: of equal rows one stays, and rows that
+    share an id but no text both stay. A null id comes after all others.
+    """
+    key = "row_key"
+    while key in docs.columns:
+        key += "_"
+    rows = stored(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
+    found = near_dup.groups(rows, doc_id=key, also=("doc_id",))
+    least = F.min(F.struct(F.isnull("doc_id").alias("last"), F.col("doc_id").alias("doc_id"), F.col("doc_id_row").alias("row")))
+    first = stored(found.toDF("doc_id_row", "doc_id", "n", "group", "kept").groupBy("group").agg(least.alias("first")).select("first.row"), "first")
+    return rows.join(first, rows[key] == first["row"], "left_semi").drop(key)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

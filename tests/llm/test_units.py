@@ -182,9 +182,9 @@ def test_forest_finds_similar_sets():
     low = (sigs & 255).astype(np.uint8)
     linked = set()
     for t in range(near_dup.TREES):
-        keys = sigs[:, t * near_dup.DEPTH : (t + 1) * near_dup.DEPTH]
+        keys = sigs[:, near_dup._ORDERS[t]]
         order = np.lexsort(keys.T[::-1])
-        to = near_dup.candidates(np.full(len(order), t), keys[order], low[order])
+        to, _, _ = near_dup.candidates(np.full(len(order), t), keys[order], low[order], near_dup.passing(85, 100))
         linked |= {tuple(sorted((int(order[k]), int(order[j])))) for k, j in enumerate(to) if j != k}
     assert linked == {(k, k + 60) for k in range(60)}
 

@@ -1,34 +1,43 @@
 """MinHash near-duplicate groups by an LSH forest.
 
 1. Each text becomes the set of its distinct word shingles (as 64-bit hashes), a digest
-   of that set, and the forest's signature: ``TREES`` orders of ``DEPTH`` minhashes each.
-2. Texts with one digest have one set; the smallest id stands for them all, so copies
-   are never expanded into pairs.
+   of that set, and ``POOL`` minhashes. A tree of the forest is an order of ``DEPTH`` of them.
+2. Texts with one digest have one set and are one node, so copies are never expanded
+   into pairs.
 3. Forest: the rows of every tree are dealt by range of their signature and sorted.
    Neighbours with a common prefix of at least ``SHALLOW`` minhashes form a region; where
    a region is larger than ``REGION``, it splits at the next minhash, and so on: depth
-   adapts to each region. Rows of a small region are compared pairwise, rows of a large
-   one with the rows next to them and with the row nearest to the region's majority. The
-   comparison is of all minhashes, one byte each, far below the similarity asked for.
-   What compares well is joined into candidate clusters. Rows at the borders of the ranges
-   meet once more, region by region, so that no border parts what belongs together.
-4. Verification: the full sets of a cluster meet in groups of at most two blocks of
-   ``BLOCK`` texts, every pair of blocks of a cluster once, so that every pair of a
-   cluster is decided on its full sets and no group is unbounded. A group returns a
-   spanning set of its links, not its pairs.
-5. Components of the links give the smallest id that can be reached.
-
-Two texts at the threshold share at least SHALLOW minhashes in front of some tree with
-probability 1 - (1 - J^2)^10, above 0.999997 at 0.85.
+   adapts to each region. The rows of a region are compared pairwise. A region that is
+   still larger at full depth is compared as a whole, in blocks if a border cuts it: rows
+   meet the row nearest to the majority and the rows next to them, and what that leaves
+   apart meets all others. Rows at borders of ranges meet once more, region by region.
+   A comparison is of all ``POOL`` minhashes, one byte each, and passes from
+   ``WIDE`` standard errors below the similarity asked for, so texts that merely share a
+   template don't pass. What passes is joined into candidate clusters.
+4. Nodes of a region that had to split stand in a crowd, where a deeper prefix is needed
+   and so more trees: they run through ``MORE`` further trees.
+5. Verification, on full sets: a cluster meets in groups of about ``BLOCK`` texts, each
+   with the cluster's best-linked text, and each text is shuffled once. Where that leaves
+   a large cluster in several parts, the texts outside its largest part meet all of its
+   texts, block by block. So every pair of a cluster is decided unless both are known to
+   be connected, and no group is unbounded. A group returns a spanning set of links.
+6. Components of the links give the smallest id that can be reached.
+
+Two texts at 0.85 share two minhashes in front of one of ten trees with probability
+1 - (1 - 0.85^2)^10, above 0.999997, and eight of one of forty with 1 - (1 - 0.85^8)^40, as
+much; at 0.8 these are 0.99996 and 0.9993.
 
 Defined cases: a text without words, empty or null, has no shingles and links with
 nothing; fewer words than a shingle are one shingle. A null id links with nothing and
-has a null component. Rows that repeat an id are one document. An empty table gives no
+has a null component. Rows are judged one by one by their own text: rows that repeat an
+id and a text get the same result, rows that repeat an id with another text may get
+another component. Among equal texts the smallest id is kept. An empty table gives no
 rows. Other columns are not looked at.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,12 +49,12 @@ from pyspark.sql import functions as F
 
 from .common import components, stored
 
-TREES, DEPTH, SHALLOW, REGION, NEXT, BLOCK = 10, 6, 2, 16, 4, 120
-#: Of the TREES * DEPTH minhashes, so many must agree: 0.6, for links of 0.8 and more.
-AGREE = 0.6
-_BUFFER = 40_000
-_NEAR = ["a", "b", "tree", "key", "signs"]
-_SIGNED = "doc_id long, n_shingles long, digest binary, signature binary, signs binary"
+POOL, TREES, MORE, DEPTH, SHALLOW, REGION, NEXT, BLOCK = 192, 10, 30, 8, 2, 256, 4, 120
+#: Standard errors below the similarity asked for at which an estimate still passes.
+WIDE = 4.5
+_BUFFER, _DENSE_BLOCK = 40_000, 2048
+LINK, BORDER, DENSE, CROWD = range(4)
+_NEAR = "kind int, a long, b long, tree int, key binary, signs binary"
 
 
 def shingles(text: bytes, size: int) -> np.ndarray:
@@ -64,39 +73,70 @@ def shingles(text: bytes, size: int) -> np.ndarray:
     return np.unique(mixed)
 
 
-_ODD = np.random.RandomState(20).randint(1, 2**62, size=2 * TREES * DEPTH, dtype=np.uint64) | np.uint64(1)
+_DICE = np.random.RandomState(20)
+_TIMES = _DICE.randint(0, 2**32, size=(POOL, 1), dtype=np.uint32) | np.uint32(1)
+_PLUS = _DICE.randint(0, 2**32, size=(POOL, 1), dtype=np.uint32)
+#: The minhashes of each tree, in order: those of the first trees don't overlap.
+_ORDERS = np.concatenate([_DICE.permutation(POOL)[: TREES * DEPTH].reshape(TREES, DEPTH), [_DICE.permutation(POOL)[:DEPTH] for _ in range(MORE)]])
 
 
 def signature(held: np.ndarray) -> np.ndarray:
-    """TREES * DEPTH minhashes of a set that isn't empty, 32 bits each."""
-    times, plus = _ODD[: TREES * DEPTH, None], _ODD[TREES * DEPTH :, None]
-    low = None
-    for at in range(0, len(held), 2048):
-        part = ((held[None, at : at + 2048] * times + plus) >> np.uint64(32)).min(axis=1)
+    """POOL minhashes of a set that isn't empty, the last 16 bits of each."""
+    low, own = None, held.astype(np.uint32)
+    for at in range(0, len(own), 1024):
+        part = (own[None, at : at + 1024] * _TIMES + _PLUS).min(axis=1)
         low = part if low is None else np.minimum(low, part)
-    return low.astype(">u4")
+    return low.astype(np.uint16)
+
+
+def passing(over: int, under: int) -> int:
+    """How many minhashes must agree."""
+    t = over / under
+    return math.ceil(POOL * (t - WIDE * math.sqrt(t * (1 - t) / POOL)))
 
 
 def _signed(size: int):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[bytes, tuple] = {}  # what copies of a text need not compute again
+
+        def of(text: bytes) -> tuple:
+            key = xxhash.xxh3_128_digest(text)
+            if key not in seen:
+                if len(seen) >= 10_000:
+                    seen.clear()
+                held = shingles(text, size)
+                seen[key] = (len(held), *((xxhash.xxh3_128_digest(held.tobytes()), signature(held).tobytes()) if len(held) else (None, None)))
+            return seen[key]
+
         for batch in batches:
-            counts, digests, keys, signs = [], [], [], []
-            for raw in batch.column(1).cast(pa.binary()):
-                held = shingles(raw.as_py() or b"", size)
-                counts.append(len(held))
-                digests.append(xxhash.xxh3_128_digest(held.tobytes()) if len(held) else None)
-                own = signature(held) if len(held) else None
-                keys.append(None if own is None else own.tobytes())
-                signs.append(None if own is None else (own & 255).astype(np.uint8).tobytes())
-            binary = [pa.array(x, pa.binary()) for x in (digests, keys, signs)]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), *binary],
-                names=["doc_id", "n_shingles", "digest", "signature", "signs"],
-            )
+            found = [of(raw.as_py() or b"") for raw in batch.column(0).cast(pa.binary())]
+            counts, digests, pools = zip(*found, strict=True) if found else ((), (), ())
+            more = [pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(pools, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *more], names=[*batch.schema.names[1:], "n_shingles", "digest", "pool"])
 
     return sign
 
 
+def _planted(first: int, n: int):
+    """(node, pool) to a row for each of n trees: tree, key, node, signs."""
+
+    def fixed(rows: np.ndarray) -> pa.Array:
+        rows = np.ascontiguousarray(rows)
+        width = rows.strides[0]
+        return pa.Array.from_buffers(pa.binary(width), len(rows), [None, pa.py_buffer(rows)]).cast(pa.binary())
+
+    def plant(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                pool = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, POOL)
+                signs = fixed((pool & 255).astype(np.uint8))
+                for tree in range(first, first + n):
+                    key = fixed(pool[:, _ORDERS[tree]].astype(">u2"))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pool), tree, np.int32)), key, batch.column(0), signs], names=["tree", "key", "node", "signs"])
+
+    return plant
+
+
 def _joined(p: np.ndarray, q: np.ndarray, n: int) -> np.ndarray:
     """The smallest row that each of n rows reaches over the pairs (p, q)."""
     label = np.arange(n)
@@ -111,8 +151,38 @@ def _joined(p: np.ndarray, q: np.ndarray, n: int) -> np.ndarray:
     return label
 
 
-def candidates(tree: np.ndarray, keys: np.ndarray, signs: np.ndarray) -> np.ndarray:
-    """For sorted rows of trees, the first row that each is joined with."""
+def _alike(signs: np.ndarray, p: np.ndarray, q: np.ndarray, agree: int) -> np.ndarray:
+    good = np.empty(len(p), dtype=bool)
+    for a in range(0, len(p), 100_000):
+        good[a : a + 100_000] = (signs[p[a : a + 100_000]] == signs[q[a : a + 100_000]]).sum(axis=1) >= agree
+    return good
+
+
+def together(signs: np.ndarray, agree: int) -> np.ndarray:
+    """For all rows of a dense region the first row that each is joined with, no pair left out.
+
+    Most are joined by the row nearest to the majority and the rows next to them; only
+    rows outside the largest part that this gives are compared with all.
+    """
+    n = len(signs)
+    common = np.array([np.bincount(signs[:, c], minlength=256).argmax() for c in range(signs.shape[1])])
+    hub = int((signs == common).sum(axis=1).argmax())
+    at = np.arange(n)
+    p = np.concatenate([np.full(n, hub), *(at[:-k] for k in range(1, NEXT + 1))])
+    q = np.concatenate([at, *(at[k:] for k in range(1, NEXT + 1))])
+    good = _alike(signs, p, q, agree)
+    label = _joined(p[good], q[good], n)
+    apart = np.flatnonzero(label != np.bincount(label).argmax())
+    p, q = [at], [label]
+    for one in apart:
+        other = np.flatnonzero((signs == signs[one]).sum(axis=1) >= agree)
+        p.append(np.full(len(other), one))
+        q.append(other)
+    return _joined(np.concatenate(p), np.concatenate(q), n)
+
+
+def candidates(tree: np.ndarray, keys: np.ndarray, signs: np.ndarray, agree: int, most: int = REGION) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For sorted rows of trees: the first row that each is joined with, which rows are crowded, and runs of equal keys by number."""
     n = len(tree)
     same = np.concatenate([[False], tree[1:] == tree[:-1]])
     prefix = np.zeros(n, dtype=np.int64)  # minhashes shared with the row before
@@ -121,85 +191,120 @@ def candidates(tree: np.ndarray, keys: np.ndarray, signs: np.ndarray) -> np.ndar
         going[1:] &= keys[1:, d] == keys[:-1, d]
         prefix += going
     region, left = np.arange(n), np.ones(n, dtype=bool)
-    dense = np.zeros(n, dtype=bool)
     for depth in range(SHALLOW, keys.shape[1] + 1):
         number = np.cumsum(prefix < depth) - 1
         size = np.bincount(number)[number]
-        fits = left & (size <= REGION)
+        fits = left & (size <= most)
         region[fits] = -1 - number[fits] - n * depth  # a name that no other region has
         left &= ~fits
-        if depth == keys.shape[1]:
-            dense = left.copy()
-    wide = np.cumsum(prefix < SHALLOW) - 1  # regions at the shallowest depth, for rows next to each other
-    p, q = [], []
+        if depth == SHALLOW:
+            crowd = left.copy()
+    p, q = [np.arange(n)], [np.arange(n)]
     at = np.arange(n)
-    for k in range(1, REGION):
-        near = region[k:] == region[:-k]
-        if k <= NEXT:
-            near |= wide[k:] == wide[:-k]
+    for k in range(1, most):
+        near = (region[k:] == region[:-k]) & (region[k:] < 0)
         if not near.any():
-            if k > NEXT:
-                break
-            continue
-        p.append(at[:-k][near])
-        q.append(at[k:][near])
-    if dense.any():
-        for one in np.unique(wide[dense]):  # one hub for each such region: the row nearest to the majority
-            rows = np.flatnonzero((wide == one) & dense)
-            own = signs[rows]
-            common = np.array([np.bincount(own[:, c], minlength=256).argmax() for c in range(own.shape[1])])
-            hub = rows[(own == common).sum(axis=1).argmax()]
-            p.append(np.full(len(rows), hub))
-            q.append(rows)
-    if not p:
-        return at
-    p, q = np.concatenate(p), np.concatenate(q)
-    good = np.empty(len(p), dtype=bool)
-    for a in range(0, len(p), 100_000):
-        alike = (signs[p[a : a + 100_000]] == signs[q[a : a + 100_000]]).sum(axis=1)
-        good[a : a + 100_000] = alike >= AGREE * signs.shape[1]
-    return _joined(p[good], q[good], n)
+            break
+        a, b = at[:-k][near], at[k:][near]
+        good = _alike(signs, a, b, agree)
+        p.append(a[good])
+        q.append(b[good])
+    for one in np.unique(number[left]):
+        rows = np.flatnonzero(number == one)
+        p.append(rows)
+        q.append(rows[together(signs[rows], agree)])
+    return _joined(np.concatenate(p), np.concatenate(q), n), crowd, number
+
+
+def _forest(agree: int, most: int):
+    """Sorted rows (tree, key, node, signs) to rows of _NEAR: links, and what has to meet again.
+
+    That is the first and the last 2 * most rows of the partition, since the ranges next
+    to it may hold more of their regions; and all rows with the first or the last key, which
+    may be a dense region that a border cuts.
+    """
 
+    def raw(rows: pa.Table, name: str, kind: str) -> np.ndarray:
+        return np.frombuffer(b"".join(rows[name].to_pylist()), kind).reshape(rows.num_rows, -1)
+
+    def out(kind: int, a, b=None, rows: pa.Table | None = None) -> pa.RecordBatch:
+        n = len(a)
+        more = [pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())]
+        if rows is not None:
+            more = [rows["tree"].combine_chunks().cast(pa.int32()), rows["key"].combine_chunks().cast(pa.binary()), rows["signs"].combine_chunks().cast(pa.binary())]
+        b = pa.nulls(n, pa.int64()) if b is None else pa.array(b, pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(a, pa.int64()), b, *more], names=["kind", "a", "b", "tree", "key", "signs"])
+
+    def found(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        nodes = rows["node"].to_numpy()
+        to, crowd, run = candidates(rows["tree"].to_numpy(), raw(rows, "key", ">u2"), raw(rows, "signs", np.uint8), agree, most)
+        linked = np.flatnonzero(nodes[to] != nodes)
+        yield out(LINK, nodes[linked], nodes[to[linked]])
+        yield out(CROWD, np.unique(nodes[crowd]))
+        cut = np.flatnonzero((run == run[0]) | (run == run[-1]))
+        yield out(DENSE, nodes[cut], rows=rows.take(cut))
+
+    def border(rows: pa.Table) -> pa.RecordBatch:
+        return out(BORDER, rows["node"].to_numpy(), rows=rows)
+
+    def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        first = True
+        for batch in batches:
+            held.append(batch)
+            if sum(x.num_rows for x in held) >= _BUFFER:
+                rows = pa.Table.from_batches(held)
+                yield from found(rows)
+                if first:
+                    yield border(rows.slice(0, 2 * most))
+                    first = False
+                held = rows.slice(rows.num_rows - 2 * most).to_batches()  # the last rows meet those that follow
+        if held:
+            rows = pa.Table.from_batches(held)
+            yield from found(rows)
+            n = rows.num_rows
+            if first and n > 4 * most:
+                yield border(rows.slice(0, 2 * most))
+            yield border(rows if first and n <= 4 * most else rows.slice(n - 2 * most))
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted rows (tree, key, id, signs) to candidate links (a, b).
+    return forest
 
-    The first and the last 2 * REGION rows of the partition come out as well (tree, key, a, signs),
-    since the ranges next to it may hold more of their regions.
-    """
 
-    def links(rows: pa.Table) -> pa.RecordBatch:
-        n = rows.num_rows
-        raw = lambda name, kind: np.frombuffer(b"".join(rows[name].to_pylist()), kind).reshape(n, -1)
-        ids = rows["id"].to_numpy()
-        to = candidates(rows["tree"].to_numpy(), raw("key", ">u4"), raw("signs", np.uint8))
-        linked = np.flatnonzero(ids[to] != ids)
-        none = [pa.nulls(len(linked), kind) for kind in (pa.int32(), pa.binary(), pa.binary())]
-        return pa.RecordBatch.from_arrays([pa.array(ids[linked]), pa.array(ids[to[linked]]), *none], names=_NEAR)
-
-    def border(rows: pa.Table) -> list[pa.RecordBatch]:
-        none = pa.nulls(rows.num_rows, pa.int64())
-        columns = [rows["id"], none, rows["tree"].cast(pa.int32()), rows["key"].cast(pa.binary()), rows["signs"].cast(pa.binary())]
-        return pa.table(columns, names=_NEAR).to_batches()
-
-    held: list[pa.RecordBatch] = []
-    first = True
-    for batch in batches:
-        held.append(batch)
-        if sum(x.num_rows for x in held) >= _BUFFER:
-            rows = pa.Table.from_batches(held)
-            yield links(rows)
-            if first:
-                yield from border(rows.slice(0, 2 * REGION))
-                first = False
-            held = rows.slice(rows.num_rows - 2 * REGION).to_batches()  # the last rows meet those that follow
-    if held:
-        rows = pa.Table.from_batches(held)
-        yield links(rows)
-        n = rows.num_rows
-        if first and n > 4 * REGION:
-            yield from border(rows.slice(0, 2 * REGION))
-        yield from border(rows if first and n <= 4 * REGION else rows.slice(n - 2 * REGION))
+def _blocks(agree: int):
+    """Rows of two blocks of a dense region to links."""
+
+    def meet(group: pd.DataFrame) -> pd.DataFrame:
+        nodes = group["node"].to_numpy()
+        to = together(np.frombuffer(b"".join(map(bytes, group["signs"])), np.uint8).reshape(len(nodes), -1), agree)
+        linked = nodes[to] != nodes
+        return pd.DataFrame({"a": nodes[linked], "b": nodes[to[linked]]})
+
+    return meet
+
+
+def _paired(rows: DataFrame, key: list[str], node: str, block: int, above: int) -> DataFrame:
+    """rows of each key that has more than `above`, in blocks, each pair of blocks once: columns low and high are added."""
+    sizes = rows.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > above).select(*key, F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    rows = rows.join(sizes, key).withColumn("own", F.pmod(F.xxhash64(node), F.col("blocks")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return rows.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).drop("blocks", "own", "other")
+
+
+def forest_links(classes: DataFrame, first: int, n: int, agree: int) -> tuple[DataFrame, DataFrame]:
+    """Candidate links (a, b) of n trees over (node, pool), and the crowded nodes."""
+    parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = classes.select("node", "pool").mapInArrow(_planted(first, n), "tree int, key binary, node long, signs binary")
+    rows = rows.repartitionByRange(parts, "tree", "key", "node").sortWithinPartitions("tree", "key", "node")
+    near = stored(rows.mapInArrow(_forest(agree, REGION), _NEAR), "near")
+    # regions that a border of ranges cuts: the rows at all borders meet by region
+    again = lambda kind, of: of.where(F.col("kind") == kind).select("tree", "key", F.col("a").alias("node"), "signs")
+    cut = again(BORDER, near).repartition(parts, "tree", F.substring("key", 1, 2 * SHALLOW)).sortWithinPartitions("tree", "key", "node")
+    across = stored(cut.mapInArrow(_forest(agree, REGION), _NEAR), "across")
+    dense = _paired(again(DENSE, near), ["tree", "key"], "node", _DENSE_BLOCK, REGION)
+    dense = stored(dense.groupBy("tree", "key", "low", "high").applyInPandas(_blocks(agree), "a long, b long"), "dense")
+    both = near.unionByName(across)
+    links = both.where(F.col("kind") == LINK).select("a", "b").unionByName(dense)
+    return links, both.where(F.col("kind") == CROWD).select(F.col("a").alias("node")).distinct()
 
 
 def linked_rows(sets: list[np.ndarray], over: int, under: int) -> np.ndarray:
@@ -226,79 +331,96 @@ def linked_rows(sets: list[np.ndarray], over: int, under: int) -> np.ndarray:
 
 def _verified(size: int, over: int, under: int):
     def verify(group: pd.DataFrame) -> pd.DataFrame:
-        held, ids = [], []
-        for one, digest, text in zip(group["id"], group["digest"], group["text"], strict=True):
-            own = shingles((text or "").encode(), size)
-            if len(own) and xxhash.xxh3_128_digest(own.tobytes()) == bytes(digest):
-                held.append(own)
-                ids.append(one)
-        if not ids:
+        sets: dict[int, np.ndarray] = {}
+        for node, digest, text in zip(group["node"], group["digest"], group["text"], strict=True):
+            if node not in sets:
+                own = shingles((text or "").encode(), size)
+                if len(own) and xxhash.xxh3_128_digest(own.tobytes()) == bytes(digest):
+                    sets[node] = own
+        if not sets:
             return pd.DataFrame({"a": [], "b": []})
-        ids = np.array(ids, dtype=np.int64)
-        order = np.argsort(ids, kind="stable")
-        ids, held = ids[order], [held[k] for k in order]
-        to = linked_rows(held, over, under)
-        linked = ids[to] != ids
-        return pd.DataFrame({"a": ids[linked], "b": ids[to[linked]]})
+        nodes = np.array(sorted(sets), dtype=np.int64)
+        to = linked_rows([sets[k] for k in nodes.tolist()], over, under)
+        linked = nodes[to] != nodes
+        return pd.DataFrame({"a": nodes[linked], "b": nodes[to[linked]]})
 
     return verify
 
 
-def _perhaps(base: DataFrame, clusters: DataFrame) -> DataFrame:
-    """The rows whose doc_id may be a node: by a bitmap of 2^26 bits, 16 MB at most, however many nodes."""
-    spot = F.pmod(F.xxhash64("node"), F.lit(1 << 26))
-    marks = clusters.select(F.shiftright(spot, 6).alias("word"), F.expr("1L << cast(pmod(xxhash64(node), 64) as int)").alias("bit"))
+def _perhaps(base: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows whose id may be among ids: by a bitmap of 2^26 bits, 16 MB at most, however many there are."""
+    spot = F.pmod(F.xxhash64("id"), F.lit(1 << 26))
+    marks = ids.select(F.shiftright(spot, 6).alias("word"), F.expr("1L << cast(pmod(xxhash64(id), 64) as int)").alias("bit"))
     marks = stored(marks.groupBy("word").agg(F.bit_or("bit").alias("bits")), "marks")
-    here = F.shiftright(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 26)), 6).alias("word")
-    held = base.select("*", here).join(F.broadcast(marks), "word")
-    return held.where(F.expr("(bits >> cast(pmod(xxhash64(doc_id), 64) as int)) & 1L = 1L")).select(*base.columns)
+    held = base.select("*", F.shiftright(spot, 6).alias("word")).join(F.broadcast(marks), "word")
+    return held.where(F.expr("(bits >> cast(pmod(xxhash64(id), 64) as int)) & 1L = 1L")).select(*base.columns)
+
+
+def confirmed(texts: DataFrame, clusters: DataFrame, links: DataFrame, verify) -> DataFrame:
+    """(node, component) over the links that full sets confirm. texts: node, digest, text; clusters: node, component."""
+    blocks = clusters.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = clusters.join(blocks, "component").withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = stored(placed.select("node", "component", "blocks", "part"), "placed")
+    large = placed.where("blocks > 1")
+    # every group of a large cluster also has the cluster's best-linked text
+    ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").count()
+    hubs = large.join(ends, "node").groupBy("component", "blocks").agg(F.max_by("node", F.struct("count", "node")).alias("node"))
+    hubs = hubs.select("node", "component", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"))
+
+    def met(rows: DataFrame, key: list[str], label: str) -> DataFrame:
+        return stored(texts.join(rows, "node").select(*key, "node", "digest", "text").groupBy(*key).applyInPandas(verify, "a long, b long"), label)
+
+    first = met(placed.select("node", "component", "part").unionByName(hubs.select("node", "component", "part")), ["component", "part"], "links")
+    found = stored(components(first), "found")
+    reach = large.join(found.select("node", F.col("component").alias("reached")), "node", "left").withColumn("reached", F.coalesce("reached", "node"))
+    most = reach.groupBy("component", "reached").count().groupBy("component").agg(F.max_by("reached", F.struct("count", "reached")).alias("most"))
+    apart = stored(reach.join(most, "component").where("reached <> most").select("node", "component", "blocks", "part"), "apart")
+    if apart.isEmpty():
+        return found
+    rows = apart.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("rows"))
+    rows = stored(rows, "rows")
+    probes = apart.join(rows, "component").withColumn("row", F.pmod(F.xxhash64("node"), F.col("rows")).cast("int"))
+    probes = probes.select("node", "component", "row", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"))
+    others = placed.join(rows, "component").select("node", "component", F.explode(F.sequence(F.lit(0), F.col("rows") - 1)).alias("row"), "part")
+    second = met(probes.unionByName(others.select("node", "component", "row", "part")), ["component", "row", "part"], "links")
+    return stored(components(first.unionByName(second)), "found")
+
+
+def candidate_clusters(classes: DataFrame, agree: int) -> tuple[DataFrame, DataFrame]:
+    """(node, component) of the candidate clusters over (node, pool), and the links behind them."""
+    links, crowd = forest_links(classes, 0, TREES, agree)
+    crowd = stored(crowd, "crowd")
+    if not crowd.isEmpty():
+        links = links.unionByName(forest_links(classes.join(crowd, "node", "left_semi"), TREES, MORE, agree)[0])
+    return stored(components(links), "clusters"), links
 
 
 def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5,
-           over: int = 80, under: int = 100) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every document.
+           over: int = 80, under: int = 100, also: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every document, and the columns of `also`.
 
     Links documents with under * intersection >= over * union of their shingle sets.
     """
-    spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    base = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    signed = stored(base.mapInArrow(_signed(shingle), _SIGNED), "signed")
+    base = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), F.col(f"`{text}`").alias("text"))
+    named = docs.select(F.col(f"`{text}`").cast("string").alias("text"), F.col(f"`{doc_id}`").cast("long").alias("doc_id"), *[F.col(f"`{c}`").alias(f"also_{c}") for c in also])
+    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in named.schema.fields[1:])
+    signed = stored(named.mapInArrow(_signed(shingle), f"{kept}, n_shingles long, digest binary, pool binary"), "signed")
     real = signed.where("doc_id is not null and digest is not null")
-    classes = real.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("signature").alias("signature"), F.first("signs").alias("signs"))
-    classes = stored(classes, "classes")
-
-    trees = classes.select("id", "signature", "signs", F.explode(F.sequence(F.lit(0), F.lit(TREES - 1))).alias("tree"))
-    key = F.expr(f"substring(signature, tree * {4 * DEPTH} + 1, {4 * DEPTH})")
-    forest = trees.select("tree", key.alias("key"), "id", "signs")
-    forest = forest.repartitionByRange(parts, "tree", "key", "id").sortWithinPartitions("tree", "key", "id")
-    schema = "a long, b long, tree int, key binary, signs binary"
-    near = stored(forest.mapInArrow(_forest, schema), "near")
-    # regions that a border of ranges cuts: the rows at all borders meet by region
-    cut = near.where("b is null").select("tree", "key", F.col("a").alias("id"), "signs")
-    cut = cut.repartition(parts, "tree", F.expr(f"substring(key, 1, {4 * SHALLOW})")).sortWithinPartitions("tree", "key", "id")
-    across = stored(cut.mapInArrow(_forest, schema), "across")
-    both = near.unionByName(across).where("b is not null").select("a", "b")
-    clusters = stored(components(both), "clusters")  # node, component
-
-    sizes = clusters.groupBy("component").agg(F.count("*").alias("size"))
-    placed = clusters.join(sizes, "component").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-    placed = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    placed = placed.select(
-        F.col("node").alias("id"), "component", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high")
-    )
-    some = _perhaps(base, clusters)  # so that texts without any candidate aren't shuffled
-    texts = some.join(placed, some["doc_id"] == placed["id"]).join(classes.select("id", "digest"), "id")
-    met = texts.select("id", "component", "low", "high", "digest", "text").groupBy("component", "low", "high")
-    links = stored(met.applyInPandas(_verified(shingle, over, under), "a long, b long"), "links")
-    found = stored(components(links), "components")
-
-    reach = classes.select("digest", "id").join(found, F.col("id") == F.col("node"), "left")
-    reach = stored(reach.select("digest", F.coalesce("component", "id").alias("reached")), "reached")
-    out = signed.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("digest")).alias("digest"))
-    out = out.join(reach, "digest", "left")
+    classes = real.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("pool").alias("pool"))
+    classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
+
+    clusters, links = candidate_clusters(classes, passing(over, under))
+    wanted = stored(clusters.select("node").join(classes.select("node", "id", "digest"), "node"), "wanted")
+    some = _perhaps(base, wanted)  # so that texts without any candidate aren't shuffled
+    texts = some.join(wanted, "id").select("node", "digest", "text")
+    found = confirmed(texts, clusters, links, _verified(shingle, over, under))
+
+    reach = classes.select("digest", "node", "id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    reach = stored(reach.select("digest", "id", "component"), "reach")
+    lowest = reach.groupBy("component").agg(F.min("id").alias("reached"))
+    reach = stored(reach.join(lowest, "component").select("digest", "reached"), "reached")
+    out = signed.drop("pool").withColumn("digest", F.when(F.col("doc_id").isNotNull(), F.col("digest"))).join(reach, "digest", "left")
     return out.select(
-        "doc_id", "n_shingles", F.coalesce("reached", "doc_id").alias("component_id"),
+        "doc_id", *[F.col(f"also_{c}").alias(c) for c in also], "n_shingles", F.coalesce("reached", "doc_id").alias("component_id"),
         F.coalesce("reached", "doc_id").eqNullSafe(F.col("doc_id")).alias("kept"),
     )
