@@ -72,11 +72,16 @@ def test_dense_regions_are_compared_whole():
     signs[50:500] = signs[49]
     signs[650] = signs[3]
     keys = np.zeros((700, near_dup.DEPTH), dtype=np.uint16)
-    to, crowd, run = near_dup.candidates(np.zeros(700, dtype=int), keys, signs, 140)
+    to, crowd, run, _ = near_dup.candidates(np.zeros(700, dtype=int), keys, signs, np.arange(700), 140)
     assert crowd.all() and (run == run[0]).all()
     want = np.arange(700)
     want[49:500], want[650] = 49, 3
     assert to.tolist() == want.tolist()
+    known = np.arange(700)
+    known[600] = 5  # of one cluster already
+    to, _, _, _ = near_dup.candidates(np.zeros(700, dtype=int), keys, signs, known, 140)
+    want[600] = 5
+    assert to.tolist() == want.tolist()
 
 
 def test_dense_regions_cut_by_borders_meet_in_blocks(spark, monkeypatch):
@@ -87,7 +92,7 @@ def test_dense_regions_cut_by_borders_meet_in_blocks(spark, monkeypatch):
     pools = dice.randint(0, 65536, (200, near_dup.POOL)).astype(np.uint16)
     pools[:, near_dup._ORDERS[0]] = 7
     pools[170] = pools[20]
-    rows = spark.createDataFrame([(k, p.tobytes()) for k, p in enumerate(pools)], "node long, pool binary")
+    rows = spark.createDataFrame([(k, p.tobytes()) for k, p in enumerate(pools)], "node long, pool binary").withColumn("cluster", F.col("node"))
     before = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "5")
     links, crowd = near_dup.forest_links(rows, 0, 1, 140)

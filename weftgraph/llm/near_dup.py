@@ -15,9 +15,10 @@
    ``WIDE`` standard errors below the similarity asked for, so texts that merely share a
    template don't pass. What passes is joined into candidate clusters.
 4. Nodes of a region that had to split stand in a crowd, where a deeper prefix is needed
-   and so more trees: they run through ``MORE`` further trees.
+   and so more trees: they run through ``MORE`` further trees, where nodes that are in one
+   cluster already are not compared again.
 5. Verification, on full sets: a cluster meets in groups of about ``BLOCK`` texts, each
-   with the cluster's best-linked text, and each text is shuffled once. Where that leaves
+   with the text that most others were joined to, and each text is shuffled once. Where that leaves
    a large cluster in several parts, the texts outside its largest part meet all of its
    texts, block by block. So every pair of a cluster is decided unless both are known to
    be connected, and no group is unbounded. A group returns a spanning set of links.
@@ -54,7 +55,8 @@ POOL, TREES, MORE, DEPTH, SHALLOW, REGION, NEXT, BLOCK = 192, 10, 30, 8, 2, 256,
 WIDE = 4.5
 _BUFFER, _DENSE_BLOCK = 40_000, 2048
 LINK, BORDER, DENSE, CROWD = range(4)
-_NEAR = "kind int, a long, b long, tree int, key binary, signs binary"
+_ROW = "tree int, key binary, node long, cluster long, signs binary"
+_NEAR = "kind int, a long, b long, tree int, key binary, cluster long, signs binary"
 
 
 def shingles(text: bytes, size: int) -> np.ndarray:
@@ -118,7 +120,7 @@ def _signed(size: int):
 
 
 def _planted(first: int, n: int):
-    """(node, pool) to a row for each of n trees: tree, key, node, signs."""
+    """(node, pool, cluster) to a row for each of n trees: tree, key, node, cluster, signs."""
 
     def fixed(rows: np.ndarray) -> pa.Array:
         rows = np.ascontiguousarray(rows)
@@ -132,7 +134,7 @@ def _planted(first: int, n: int):
                 signs = fixed((pool & 255).astype(np.uint8))
                 for tree in range(first, first + n):
                     key = fixed(pool[:, _ORDERS[tree]].astype(">u2"))
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pool), tree, np.int32)), key, batch.column(0), signs], names=["tree", "key", "node", "signs"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pool), tree, np.int32)), key, batch.column(0), batch.column(2), signs], names=["tree", "key", "node", "cluster", "signs"])
 
     return plant
 
@@ -158,11 +160,12 @@ def _alike(signs: np.ndarray, p: np.ndarray, q: np.ndarray, agree: int) -> np.nd
     return good
 
 
-def together(signs: np.ndarray, agree: int) -> np.ndarray:
+def together(signs: np.ndarray, agree: int, group: np.ndarray) -> np.ndarray:
     """For all rows of a dense region the first row that each is joined with, no pair left out.
 
-    Most are joined by the row nearest to the majority and the rows next to them; only
-    rows outside the largest part that this gives are compared with all.
+    group: the first row that each is known to be joined with. Most others are joined by
+    the row nearest to the majority and the rows next to them; only rows outside the
+    largest part that this gives are compared with all.
     """
     n = len(signs)
     common = np.array([np.bincount(signs[:, c], minlength=256).argmax() for c in range(signs.shape[1])])
@@ -171,7 +174,7 @@ def together(signs: np.ndarray, agree: int) -> np.ndarray:
     p = np.concatenate([np.full(n, hub), *(at[:-k] for k in range(1, NEXT + 1))])
     q = np.concatenate([at, *(at[k:] for k in range(1, NEXT + 1))])
     good = _alike(signs, p, q, agree)
-    label = _joined(p[good], q[good], n)
+    label = _joined(np.concatenate([p[good], at]), np.concatenate([q[good], group]), n)
     apart = np.flatnonzero(label != np.bincount(label).argmax())
     p, q = [at], [label]
     for one in apart:
@@ -181,8 +184,15 @@ def together(signs: np.ndarray, agree: int) -> np.ndarray:
     return _joined(np.concatenate(p), np.concatenate(q), n)
 
 
-def candidates(tree: np.ndarray, keys: np.ndarray, signs: np.ndarray, agree: int, most: int = REGION) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For sorted rows of trees: the first row that each is joined with, which rows are crowded, and runs of equal keys by number."""
+def _first(values: np.ndarray) -> np.ndarray:
+    """For each row the first row with its value."""
+    _, first, at = np.unique(values, return_index=True, return_inverse=True)
+    return first[at]
+
+
+def candidates(tree: np.ndarray, keys: np.ndarray, signs: np.ndarray, group: np.ndarray, agree: int, most: int = REGION) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For sorted rows of trees: the first row that each is joined with, which rows are crowded, and
+    the numbers of the runs of equal keys and of equal shallowest prefixes. group: as for `together`."""
     n = len(tree)
     same = np.concatenate([[False], tree[1:] == tree[:-1]])
     prefix = np.zeros(n, dtype=np.int64)  # minhashes shared with the row before
@@ -198,13 +208,14 @@ def candidates(tree: np.ndarray, keys: np.ndarray, signs: np.ndarray, agree: int
         region[fits] = -1 - number[fits] - n * depth  # a name that no other region has
         left &= ~fits
         if depth == SHALLOW:
-            crowd = left.copy()
-    p, q = [np.arange(n)], [np.arange(n)]
+            crowd, wide = left.copy(), number
     at = np.arange(n)
+    p, q = [at], [group]
     for k in range(1, most):
         near = (region[k:] == region[:-k]) & (region[k:] < 0)
         if not near.any():
             break
+        near &= group[k:] != group[:-k]
         a, b = at[:-k][near], at[k:][near]
         good = _alike(signs, a, b, agree)
         p.append(a[good])
@@ -212,16 +223,15 @@ def candidates(tree: np.ndarray, keys: np.ndarray, signs: np.ndarray, agree: int
     for one in np.unique(number[left]):
         rows = np.flatnonzero(number == one)
         p.append(rows)
-        q.append(rows[together(signs[rows], agree)])
-    return _joined(np.concatenate(p), np.concatenate(q), n), crowd, number
+        q.append(rows[together(signs[rows], agree, _first(group[rows]))])
+    return _joined(np.concatenate(p), np.concatenate(q), n), crowd, number, wide
 
 
 def _forest(agree: int, most: int):
-    """Sorted rows (tree, key, node, signs) to rows of _NEAR: links, and what has to meet again.
+    """Sorted rows of _ROW to rows of _NEAR: links that join clusters, crowded nodes, and what has to meet again.
 
-    That is the first and the last 2 * most rows of the partition, since the ranges next
-    to it may hold more of their regions; and all rows with the first or the last key, which
-    may be a dense region that a border cuts.
+    The ranges next to a partition may hold more of its first and its last region: of these
+    the 2 * most rows at the border meet once more, and of a dense one all rows.
     """
 
     def raw(rows: pa.Table, name: str, kind: str) -> np.ndarray:
@@ -229,43 +239,39 @@ def _forest(agree: int, most: int):
 
     def out(kind: int, a, b=None, rows: pa.Table | None = None) -> pa.RecordBatch:
         n = len(a)
-        more = [pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())]
-        if rows is not None:
-            more = [rows["tree"].combine_chunks().cast(pa.int32()), rows["key"].combine_chunks().cast(pa.binary()), rows["signs"].combine_chunks().cast(pa.binary())]
+        kinds = {"tree": pa.int32(), "key": pa.binary(), "cluster": pa.int64(), "signs": pa.binary()}
+        more = [pa.nulls(n, x) if rows is None else rows[c].combine_chunks().cast(x) for c, x in kinds.items()]
         b = pa.nulls(n, pa.int64()) if b is None else pa.array(b, pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(a, pa.int64()), b, *more], names=["kind", "a", "b", "tree", "key", "signs"])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(a, pa.int64()), b, *more], names=["kind", "a", "b", *kinds])
 
-    def found(rows: pa.Table) -> Iterator[pa.RecordBatch]:
-        nodes = rows["node"].to_numpy()
-        to, crowd, run = candidates(rows["tree"].to_numpy(), raw(rows, "key", ">u2"), raw(rows, "signs", np.uint8), agree, most)
-        linked = np.flatnonzero(nodes[to] != nodes)
+    def found(rows: pa.Table, start: bool, stop: bool) -> Iterator[pa.RecordBatch]:
+        n, nodes, group = rows.num_rows, rows["node"].to_numpy(), _first(rows["cluster"].to_numpy())
+        to, crowd, run, wide = candidates(rows["tree"].to_numpy(), raw(rows, "key", ">u2"), raw(rows, "signs", np.uint8), group, agree, most)
+        at = np.arange(n)
+        linked = np.flatnonzero((group == at) & (to != at))  # a link for each cluster that is joined to another
         yield out(LINK, nodes[linked], nodes[to[linked]])
         yield out(CROWD, np.unique(nodes[crowd]))
-        cut = np.flatnonzero((run == run[0]) | (run == run[-1]))
-        yield out(DENSE, nodes[cut], rows=rows.take(cut))
-
-    def border(rows: pa.Table) -> pa.RecordBatch:
-        return out(BORDER, rows["node"].to_numpy(), rows=rows)
+        border = (start & (wide == wide[0]) & (at < 2 * most)) | (stop & (wide == wide[-1]) & (at >= n - 2 * most))
+        dense = np.zeros(n, dtype=bool)
+        for one in (run[0], run[-1]):
+            if (run == one).sum() > most:
+                dense |= run == one
+        for kind, some in ((BORDER, border), (DENSE, dense & ~border)):
+            if some.any():
+                yield out(kind, nodes[some], rows=rows.take(np.flatnonzero(some)))
 
     def forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        first = True
+        start = True
         for batch in batches:
-            held.append(batch)
             if sum(x.num_rows for x in held) >= _BUFFER:
                 rows = pa.Table.from_batches(held)
-                yield from found(rows)
-                if first:
-                    yield border(rows.slice(0, 2 * most))
-                    first = False
+                yield from found(rows, start, False)
+                start = False
                 held = rows.slice(rows.num_rows - 2 * most).to_batches()  # the last rows meet those that follow
-        if held:
-            rows = pa.Table.from_batches(held)
-            yield from found(rows)
-            n = rows.num_rows
-            if first and n > 4 * most:
-                yield border(rows.slice(0, 2 * most))
-            yield border(rows if first and n <= 4 * most else rows.slice(n - 2 * most))
+            held.append(batch)
+        if held and sum(x.num_rows for x in held):
+            yield from found(pa.Table.from_batches(held), start, True)
 
     return forest
 
@@ -273,34 +279,35 @@ def _forest(agree: int, most: int):
 def _blocks(agree: int):
     """Rows of two blocks of a dense region to links."""
 
-    def meet(group: pd.DataFrame) -> pd.DataFrame:
-        nodes = group["node"].to_numpy()
-        to = together(np.frombuffer(b"".join(map(bytes, group["signs"])), np.uint8).reshape(len(nodes), -1), agree)
-        linked = nodes[to] != nodes
+    def meet(rows: pd.DataFrame) -> pd.DataFrame:
+        nodes, group = rows["node"].to_numpy(), _first(rows["cluster"].to_numpy())
+        to = together(np.frombuffer(b"".join(map(bytes, rows["signs"])), np.uint8).reshape(len(nodes), -1), agree, group)
+        linked = np.flatnonzero((group == np.arange(len(nodes))) & (to != np.arange(len(nodes))))
         return pd.DataFrame({"a": nodes[linked], "b": nodes[to[linked]]})
 
     return meet
 
 
-def _paired(rows: DataFrame, key: list[str], node: str, block: int, above: int) -> DataFrame:
-    """rows of each key that has more than `above`, in blocks, each pair of blocks once: columns low and high are added."""
-    sizes = rows.groupBy(*key).agg(F.count("*").alias("n")).where(F.col("n") > above).select(*key, F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+def _paired(rows: DataFrame, key: list[str], node: str, block: int) -> DataFrame:
+    """rows of each key in blocks, each pair of blocks once: columns low and high are added."""
+    sizes = rows.groupBy(*key).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
     rows = rows.join(sizes, key).withColumn("own", F.pmod(F.xxhash64(node), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     return rows.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).drop("blocks", "own", "other")
 
 
 def forest_links(classes: DataFrame, first: int, n: int, agree: int) -> tuple[DataFrame, DataFrame]:
-    """Candidate links (a, b) of n trees over (node, pool), and the crowded nodes."""
+    """Candidate links (a, b) of n trees over (node, pool, cluster) between clusters, and the crowded nodes."""
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = classes.select("node", "pool").mapInArrow(_planted(first, n), "tree int, key binary, node long, signs binary")
+    rows = classes.select("node", "pool", "cluster").mapInArrow(_planted(first, n), _ROW)
     rows = rows.repartitionByRange(parts, "tree", "key", "node").sortWithinPartitions("tree", "key", "node")
     near = stored(rows.mapInArrow(_forest(agree, REGION), _NEAR), "near")
     # regions that a border of ranges cuts: the rows at all borders meet by region
-    again = lambda kind, of: of.where(F.col("kind") == kind).select("tree", "key", F.col("a").alias("node"), "signs")
-    cut = again(BORDER, near).repartition(parts, "tree", F.substring("key", 1, 2 * SHALLOW)).sortWithinPartitions("tree", "key", "node")
-    across = stored(cut.mapInArrow(_forest(agree, REGION), _NEAR), "across")
-    dense = _paired(again(DENSE, near), ["tree", "key"], "node", _DENSE_BLOCK, REGION)
+    again = near.where(F.col("kind").isin(BORDER, DENSE)).select("kind", "tree", "key", F.col("a").alias("node"), "cluster", "signs")
+    cut = again.where(F.col("kind") == BORDER).drop("kind").repartition(parts, "tree", F.substring("key", 1, 2 * SHALLOW))
+    across = stored(cut.sortWithinPartitions("tree", "key", "node").mapInArrow(_forest(agree, REGION), _NEAR), "across")
+    dense = again.join(again.where(F.col("kind") == DENSE).select("tree", "key").distinct(), ["tree", "key"], "left_semi")
+    dense = _paired(dense, ["tree", "key"], "node", _DENSE_BLOCK)
     dense = stored(dense.groupBy("tree", "key", "low", "high").applyInPandas(_blocks(agree), "a long, b long"), "dense")
     both = near.unionByName(across)
     links = both.where(F.col("kind") == LINK).select("a", "b").unionByName(dense)
@@ -362,8 +369,8 @@ def confirmed(texts: DataFrame, clusters: DataFrame, links: DataFrame, verify) -
     placed = clusters.join(blocks, "component").withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     placed = stored(placed.select("node", "component", "blocks", "part"), "placed")
     large = placed.where("blocks > 1")
-    # every group of a large cluster also has the cluster's best-linked text
-    ends = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").count()
+    # every group of a large cluster also has the text that most others were joined to
+    ends = links.groupBy(F.col("b").alias("node")).count()
     hubs = large.join(ends, "node").groupBy("component", "blocks").agg(F.max_by("node", F.struct("count", "node")).alias("node"))
     hubs = hubs.select("node", "component", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"))
 
@@ -388,10 +395,12 @@ def confirmed(texts: DataFrame, clusters: DataFrame, links: DataFrame, verify) -
 
 def candidate_clusters(classes: DataFrame, agree: int) -> tuple[DataFrame, DataFrame]:
     """(node, component) of the candidate clusters over (node, pool), and the links behind them."""
-    links, crowd = forest_links(classes, 0, TREES, agree)
-    crowd = stored(crowd, "crowd")
-    if not crowd.isEmpty():
-        links = links.unionByName(forest_links(classes.join(crowd, "node", "left_semi"), TREES, MORE, agree)[0])
+    links, crowd = forest_links(classes.withColumn("cluster", F.col("node")), 0, TREES, agree)
+    clusters, crowd = stored(components(links), "clusters"), stored(crowd, "crowd")
+    if crowd.isEmpty():
+        return clusters, links
+    known = classes.join(crowd, "node", "left_semi").join(clusters, "node", "left")
+    links = links.unionByName(forest_links(known.withColumn("cluster", F.coalesce("component", "node")), TREES, MORE, agree)[0])
     return stored(components(links), "clusters"), links
 
 
