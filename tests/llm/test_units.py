@@ -126,39 +126,41 @@ def lattice():
     return lm_score.Lattice(public_tokenizers.path("piece_bpe_32k.model"))
 
 
-def test_forward_sums_all_segmentations(lattice):
-    log_p = lm_score.estimated(np.zeros((lattice.size, 2)), lattice)
-    words = ["the", "thonti", "x", "日本", "añz", "tion" * 4]
-
-    def brute(text):
-        if not text:
-            return np.ones(2)
-        out = np.zeros(2)
-        for j in range(1, len(text) + 1):
-            k = lattice.known.get(text[:j], -1)
-            if k < 0 and j == 1:
-                k = lattice.unknown
-            if k >= 0:
-                out += np.exp(log_p[k]) * brute(text[j:])
-        return out
+def _segmentations(text, lattice):
+    """Every way to cut a text into pieces, as lists of pieces."""
+    if not text:
+        return [[]]
+    out = []
+    for j in range(1, len(text) + 1):
+        k = lattice.known.get(text[:j], -1)
+        if k < 0 and j == 1:
+            k = lattice.unknown
+        if k >= 0:
+            out += [[k, *rest] for rest in _segmentations(text[j:], lattice)]
+    return out
+
 
+def test_forward_sums_all_segmentations(lattice):
+    log_p = lm_score.estimated(np.zeros(lattice.size), lattice)
+    words = ["the", "thonti", "x", "日本", "añz", "tion" * 3]
     total, _ = lm_score.forward(words, lattice, log_p)
+    seen = lm_score.expected(words, np.arange(1.0, 7), lattice, log_p)
+    want, alone = np.zeros(lattice.size), np.zeros(lattice.size)
     for k, w in enumerate(words):
-        assert np.allclose(np.exp(total[k]), brute(lm_score.START + w), rtol=1e-9, atol=0)
-    seen = lm_score.expected(words, np.ones((len(words), 2)), lattice, log_p)
-    lengths = sum(len(w) + 1 for w in words)
-    sizes = np.ones(lattice.size)
-    for piece, k in lattice.known.items():
-        if k >= 0:
-            sizes[k] = len(piece)
-    assert np.allclose((seen * sizes[:, None]).sum(axis=0), lengths)  # each character is in one piece
+        ways = [(x, math.exp(sum(log_p[i] for i in x))) for x in _segmentations(lm_score.START + w, lattice)]
+        p = sum(y for _, y in ways)
+        assert math.isclose(math.exp(total[k]), p, rel_tol=1e-9)
+        assert math.isclose(lm_score.long_word(w, lattice, log_p, alone, k + 1.0), total[k], rel_tol=1e-9)
+        for x, y in ways:
+            np.add.at(want, x, (k + 1) * y / p)
+    assert np.allclose(seen, want) and np.allclose(alone, want)
 
 
-def test_word_distribution_is_proper(lattice):
-    counts = np.array([[3.0], [1.0], [0.0]])
-    log_p = np.log(np.array([[0.2], [0.1], [0.3]]))
-    p = np.exp(lm_score.whole_word(counts, np.array([4.0]), np.array([2.0]), log_p))
-    assert np.allclose(p[:, 0], [2.25 / 4 + 0.375 * 0.2, 0.25 / 4 + 0.375 * 0.1, 0.375 * 0.3])
+def test_a_word_of_a_megabyte_is_summed(lattice):
+    log_p = lm_score.estimated(np.zeros(lattice.size), lattice)
+    one = lm_score.long_word("ab" * 500_000, lattice, log_p)
+    part = lm_score.forward(["ab" * 1000], lattice, log_p)[0][0]
+    assert math.isclose(one, 500 * part, rel_tol=0.01)
 
 
 def test_linked_rows_are_those_of_plain_jaccard():
@@ -184,7 +186,7 @@ def test_forest_finds_similar_sets():
     for t in range(near_dup.TREES):
         keys = sigs[:, near_dup._ORDERS[t]]
         order = np.lexsort(keys.T[::-1])
-        to, _, _ = near_dup.candidates(np.full(len(order), t), keys[order], low[order], near_dup.passing(85, 100))
+        to, _, _, _ = near_dup.candidates(np.full(len(order), t), keys[order], low[order], np.arange(len(order)), near_dup.passing(85, 100))
         linked |= {tuple(sorted((int(order[k]), int(order[j])))) for k, j in enumerate(to) if j != k}
     assert linked == {(k, k + 60) for k in range(60)}
 

@@ -1,11 +1,9 @@
 """Jobs that must be whole at every size and layout."""
 
 import numpy as np
-import public_tokenizers
 import pytest
-from pyspark.sql import functions as F
 
-from weftgraph.llm import lang_id, lm_score, near_dup, url_filter
+from weftgraph.llm import lang_id, near_dup, url_filter
 
 
 @pytest.fixture
@@ -50,18 +48,3 @@ def test_rare_languages_are_learned(spark):
     rows += [(5000 + k, f"rare term{k}", f"r{k % 3}") for k in range(9)]
     model = lang_id.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"), rows=50, each=10)
     assert model["languages"] == ["aa", "bb", "r0", "r1", "r2"]
-
-
-def test_each_language_has_its_own_distribution(spark):
-    """Scores don't depend on how languages are called; with a cap the names said which are pooled."""
-    dice = np.random.RandomState(10)
-    words = [[f"{c}{''.join(dice.choice(list('abcdeoinst'), 5))}" for _ in range(8)] for c in "bcdfghklmn"]
-    texts = [(10 * k + j, " ".join(dice.choice(words[k], 20)), k) for k in range(10) for j in range(6)]
-
-    def scores(name):
-        docs = spark.createDataFrame([(d, t, name(k)) for d, t, k in texts], "doc_id long, text string, lang string")
-        found = lm_score.score(docs, F.col("doc_id") % 10 != 0, public_tokenizers.path("piece_bpe_32k.model"))
-        return {r["doc_id"]: r["score"] for r in found.collect()}
-
-    one, two = scores(lambda k: f"l{k}"), scores(lambda k: f"l{9 - k}")
-    assert all(abs(one[d] - two[d]) < 1e-4 * abs(one[d]) for d in one)

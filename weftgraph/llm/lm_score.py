@@ -2,25 +2,25 @@
 
 The probability of a word is the sum over all ways to segment it into pieces of an
 existing subword vocabulary, each weighted by the product of its pieces' unigram
-probabilities; a forward recursion in log space sums them. A word that training texts
-have is one more segmentation: an edge over the whole word with its own discounted
-unigram probability, the discount being what all other words share. A text is its words
-and one end. Pieces have one distribution for each class of training documents (their `lang`
-column; the text to score gives no class), and a text's probability is marginal over the
-classes too: log10 of sum over k of P(k) * product of P_k(word).
-
-1. One pass counts the words of all documents, by class, partial sums first.
-2. The vocabulary's own scores order its pieces; probabilities falling with that rank
-   start the model. Expected piece counts over all segmentations of all training words
-   (forward-backward, each distinct word once in each class that has it, as the pieces
-   stand for words not seen yet) re-estimate it, ``ROUNDS`` times. Only sums per piece and class reach the driver: their number is
-   bounded by the vocabulary.
-3. Each distinct word gets its log probabilities, distributed.
+probabilities; a forward recursion in log space sums them. A text is its words and one
+end, and its score is log10 of the product of their marginal probabilities.
+
+The scores in the vocabulary's file are ranks of merges, not log probabilities. They are
+turned into them by Zipf's law: a piece of rank r, counted from 0 in the order of falling
+scores, weighs 1 / (``SHIFT`` + r). Training texts reweight the pieces and nothing else:
+expected counts over all segmentations (forward-backward), with ``PRIOR`` counts spread
+as the vocabulary's scores say, give new probabilities, ``ROUNDS`` times.
+
+1. One pass counts the words of all documents, partial sums first.
+2. Each distinct training word meets the lattice once in each round, weighted by its
+   count. Only sums per piece reach the driver: their number is bounded by the vocabulary.
+3. Each distinct word gets its log probability, distributed.
 4. Scoring reads the texts once more. The most frequent words, at most ``HOT``, are
    broadcast; all other words of a text are joined to the table of words by shuffle, so
    the corpus vocabulary may be of any size and no frequent word makes a hot key.
 
-`base` is a smoothed word unigram from the same counts.
+`base` is a smoothed word unigram from the same counts. Words of more than ``LONG``
+characters are summed one by one, with memory in proportion to their length.
 
 Defined cases: a null or empty text is its end alone. A null id falls where the caller's
 test puts it. Repeated rows count and score as often as they stand there. Without any
@@ -43,9 +43,9 @@ from pyspark.sql import functions as F
 
 from .common import held, stored
 
-ROUNDS, HOT, CHARACTERS, START = 2, 100_000, 1 << 16, "▁"
+ROUNDS, HOT, CHARACTERS, LONG, START = 2, 100_000, 1 << 16, 4096, "▁"
+SHIFT, PRIOR, SMOOTH = 10.0, 2000.0, 0.1
 _FLUSH, _CELLS = 300_000, 200_000
-SMOOTH, DISCOUNT = 0.1, 0.75
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -67,7 +67,8 @@ class Lattice:
         order = np.argsort(np.argsort([-own.get_score(i) for i in use], kind="stable"))
         self.unknown, self.end = len(pieces), len(pieces) + 1
         self.size = len(pieces) + 2
-        self.first = 1 / (10.0 + np.concatenate([order, [order.size, order.size]]))
+        weight = 1 / (SHIFT + np.concatenate([order, [order.size, order.size]]))  # the unknown piece and the end come last
+        self.prior = weight / weight.sum()
         self.known = {p[:n]: -1 for p in pieces for n in range(1, len(p))} | pieces  # -1: only the start of a piece
 
     def edges(self, words: list[str]) -> tuple[np.ndarray, ...]:
@@ -104,7 +105,7 @@ def _spread(at: np.ndarray, to: np.ndarray, weight: np.ndarray, by: np.ndarray,
     cuts = np.flatnonzero(np.diff(by, prepend=-1))
     for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(by)], strict=True):
         heads = np.flatnonzero(np.diff(to[a:b], prepend=-1))
-        value[to[a:b][heads]] = np.logaddexp.reduceat(value[at[a:b]] + weight[a:b], heads, axis=0)
+        value[to[a:b][heads]] = np.logaddexp.reduceat(value[at[a:b]] + weight[a:b], heads)
 
 
 def batches_of(words: list[str]) -> Iterator[list[int]]:
@@ -121,18 +122,18 @@ def batches_of(words: list[str]) -> Iterator[list[int]]:
 
 
 def forward(words: list[str], lattice: Lattice, log_p: np.ndarray, edges=None) -> tuple[np.ndarray, np.ndarray]:
-    """Log probability of each word (words x classes), and the forward table behind it."""
+    """Log probability of each word, and the forward table behind it."""
     word, start, end, piece = edges or lattice.edges(words)
     lengths = np.array([len(w) + 1 for w in words])
     wide = int(lengths.max()) + 1
-    table = np.full((len(words) * wide, log_p.shape[1]), -np.inf)
+    table = np.full(len(words) * wide, -np.inf)
     table[np.arange(len(words)) * wide] = 0
     _spread(word * wide + start, word * wide + end, log_p[piece], end, table)
     return table[np.arange(len(words)) * wide + lengths], table
 
 
 def expected(words: list[str], counts: np.ndarray, lattice: Lattice, log_p: np.ndarray) -> np.ndarray:
-    """Expected number of each piece (pieces x classes) in words with counts (words x classes)."""
+    """Expected number of each piece in words with counts."""
     edges = word, start, end, piece = lattice.edges(words)
     total, ahead = forward(words, lattice, log_p, edges)
     wide = len(ahead) // len(words)
@@ -140,15 +141,52 @@ def expected(words: list[str], counts: np.ndarray, lattice: Lattice, log_p: np.n
     back[np.arange(len(words)) * wide + [len(w) + 1 for w in words]] = 0
     _spread(word * wide + end, word * wide + start, log_p[piece], wide - start, back)
     share = np.exp(ahead[word * wide + start] + log_p[piece] + back[word * wide + end] - total[word]) * counts[word]
-    return np.stack([np.bincount(piece, share[:, k], lattice.size) for k in range(share.shape[1])], axis=1)
+    return np.bincount(piece, share, lattice.size)
+
+
+def _add(a: float, b: float) -> float:
+    """log(exp(a) + exp(b))."""
+    low, high = (a, b) if a < b else (b, a)
+    return high if low == -math.inf else high + math.log1p(math.exp(low - high))
+
+
+def _pieces_at(text: str, i: int, lattice: Lattice) -> Iterator[tuple[int, int]]:
+    """End and piece of every edge from i."""
+    known, alone = lattice.known.get, True
+    for j in range(i + 1, len(text) + 1):
+        k = known(text[i:j])
+        if k is None:
+            break
+        if k >= 0:
+            yield j, k
+            alone &= j > i + 1
+    if alone:
+        yield i + 1, lattice.unknown
+
+
+def long_word(word: str, lattice: Lattice, log_p: np.ndarray, counts: np.ndarray | None = None, times: float = 0.0) -> float:
+    """Log probability of one word of any length; adds its expected pieces to counts, if given."""
+    text, p = START + word, log_p.tolist()
+    n = len(text)
+    ahead = [0.0] + [-math.inf] * n
+    for i in range(n):
+        if ahead[i] > -math.inf:
+            for j, k in _pieces_at(text, i, lattice):
+                ahead[j] = _add(ahead[j], ahead[i] + p[k])
+    if counts is not None:
+        back = [-math.inf] * n + [0.0]
+        for i in range(n - 1, -1, -1):
+            for j, k in _pieces_at(text, i, lattice):
+                through = p[k] + back[j]
+                back[i] = _add(back[i], through)
+                counts[k] += times * math.exp(ahead[i] + through - ahead[n])
+    return ahead[n]
 
 
 def estimated(found: np.ndarray, lattice: Lattice) -> np.ndarray:
-    """Log probabilities (pieces x classes) from expected counts, each class smoothed by all of them."""
-    pooled = found.sum(axis=1) + SMOOTH * lattice.first / lattice.first.max()
-    pooled = pooled / pooled.sum()
-    own = found + 2000 * pooled[:, None]
-    out = np.log(own / own.sum(axis=0))
+    """Log probabilities of the pieces from expected counts and the vocabulary's own scores."""
+    own = found + PRIOR * lattice.prior
+    out = np.log(own / own.sum())
     out[lattice.unknown] -= math.log(CHARACTERS)
     return out
 
@@ -161,68 +199,69 @@ def lattice_of(path: str) -> Lattice:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(text, class or -1) to (word, class, n); the end is the empty word."""
-    seen: dict[int, Counter] = {}
+    """(text, train) to (word, a, c): how often in all texts and in training texts; the end is the empty word."""
+    seen: tuple[Counter, Counter] = Counter(), Counter()
 
-    def out() -> Iterator[pa.RecordBatch]:
-        for kind, words in seen.items():
-            columns = [pa.array(words.keys(), pa.binary(), size=len(words)), pa.array(np.full(len(words), kind), pa.int32()), pa.array(words.values(), pa.int64(), size=len(words))]
-            yield pa.RecordBatch.from_arrays(columns, names=["word", "kind", "n"])
-        seen.clear()
+    def out() -> pa.RecordBatch:
+        other, trained = seen
+        words = list(other.keys() | trained.keys())
+        c = np.array([trained[w] for w in words], dtype=np.int64)
+        a = c + np.array([other[w] for w in words], dtype=np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(a), pa.array(c)], names=["word", "a", "c"])
 
     for batch in batches:
-        for raw, kind in zip(batch.column(0).cast(pa.binary()), batch.column(1).to_pylist(), strict=True):
-            own = seen.setdefault(kind, Counter())
+        for raw, train in zip(batch.column(0).cast(pa.binary()), batch.column(1).to_pylist(), strict=True):
+            own = seen[bool(train)]
             own.update(words_of(raw.as_py() or b""))
             own[b""] += 1
-        if sum(map(len, seen.values())) > _FLUSH:
-            yield from out()
-    yield from out()
+        if len(seen[0]) + len(seen[1]) > _FLUSH:
+            yield out()
+            seen[0].clear()
+            seen[1].clear()
+    yield out()
 
 
-def _counts(batch: pa.RecordBatch, classes: int) -> np.ndarray:
-    return np.stack([batch.column(f"c{k}").to_numpy() for k in range(classes)], axis=1).astype(np.float64)
+def _read(batch: pa.RecordBatch) -> tuple[list[str], list[int], list[int]]:
+    """The batch's words, and the places of the short and of the long ones."""
+    words = [w.decode("utf-8", "replace") for w in batch.column("word").to_pylist()]
+    return words, [k for k, w in enumerate(words) if len(w) <= LONG], [k for k, w in enumerate(words) if len(w) > LONG]
 
 
-def _expecting(path: str, shared, classes: int):
+def _expecting(path: str, shared):
     def expect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lattice, log_p = lattice_of(path), shared.value
-        total = np.zeros((lattice.size, classes))
+        total = np.zeros(lattice.size)
         for batch in batches:
-            words, counts = [w.decode("utf-8", "replace") for w in batch.column("word").to_pylist()], _counts(batch, classes) > 0
-            for own in batches_of(words):
-                total += expected([words[k] for k in own], counts[own].astype(np.float64), lattice, log_p)
-        piece, kind = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(piece, pa.int32()), pa.array(kind, pa.int32()), pa.array(total[piece, kind])], names=["piece", "kind", "n"])
+            (words, short, long), counts = _read(batch), batch.column("c").to_numpy().astype(np.float64)
+            for own in batches_of([words[k] for k in short]):
+                own = [short[k] for k in own]
+                total += expected([words[k] for k in own], counts[own], lattice, log_p)
+            for k in long:
+                long_word(words[k], lattice, log_p, total, counts[k])
+        piece = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(piece, pa.int32()), pa.array(total[piece])], names=["piece", "n"])
 
     return expect
 
 
-def whole_word(counts: np.ndarray, total: np.ndarray, distinct: np.ndarray, log_pieces: np.ndarray) -> np.ndarray:
-    """Log probability of words (words x classes) with their own edge beside their pieces."""
-    with np.errstate(divide="ignore"):
-        own = np.log(np.maximum(counts - DISCOUNT, 0) / np.maximum(total, 1))
-        rest = np.where(total > 0, np.log(DISCOUNT * distinct / np.maximum(total, 1)), 0.0)
-    return np.logaddexp(own, rest + log_pieces)
-
-
 def _likely(path: str, shared):
     def likely(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lattice, (log_p, total, distinct) = lattice_of(path), shared.value
+        lattice, log_p = lattice_of(path), shared.value
         for batch in batches:
-            words = [w.decode("utf-8", "replace") for w in batch.column("word").to_pylist()]
-            out = np.zeros((len(words), log_p.shape[1]))
-            for own in batches_of(words):
+            words, short, long = _read(batch)
+            out = np.zeros(len(words))
+            for own in batches_of([words[k] for k in short]):
+                own = [short[k] for k in own]
                 out[own] = forward([words[k] for k in own], lattice, log_p)[0]
+            for k in long:
+                out[k] = long_word(words[k], lattice, log_p)
             out[[k for k, w in enumerate(words) if not w]] = log_p[lattice.end]
-            out = whole_word(_counts(batch, len(total)), total, distinct, out)
-            logs = pa.array(list((out / math.log(10)).astype(np.float32)), pa.list_(pa.float32()))
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), batch.column("a"), logs], names=["word", "c", "a", "p"])
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("c"), batch.column("a"), pa.array(out / math.log(10))], names=["word", "c", "a", "p"])
 
     return likely
 
 
-def _scored(shared, classes: int):
+def _scored(shared):
     """(row, text) to partial sums over the broadcast words, and the other words with their counts."""
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -238,86 +277,66 @@ def _scored(shared, classes: int):
                 tokens.append(len(words))
                 n_known.append(int(known[hot].sum()))
                 bases.append(float(base[hot].sum()))
-                sums.append(p[hot].sum(axis=0, dtype=np.float64))
+                sums.append(float(p[hot].sum()))
                 rest.append(list(cold))
                 rest_n.append(list(cold.values()))
-            columns = [batch.column(0), pa.array(tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(bases, pa.float64()), pa.array(sums, pa.list_(pa.float64())), pa.array(rest, pa.list_(pa.binary())), pa.array(rest_n, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(columns, names=["row", "n_tokens", "known", "base", "sums", "words", "times"])
+            columns = [batch.column(0), pa.array(tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(bases, pa.float64()), pa.array(sums, pa.float64()), pa.array(rest, pa.list_(pa.binary())), pa.array(rest_n, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "n_tokens", "known", "base", "own", "words", "times"])
 
     return scored
 
 
-def score(docs: DataFrame, train: Column, path: str, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", hot: int = HOT) -> DataFrame:
-    """row columns of docs, plus n_tokens, n_known, train_tokens, base_score and score.
+def score(docs: DataFrame, train: Column, path: str, doc_id: str = "doc_id", text: str = "text", hot: int = HOT) -> DataFrame:
+    """doc_id, train, n_tokens, n_known, train_tokens, base_score and score of every row of docs.
 
-    train: which rows to learn from. Returns the given doc_id, and `train` as a column.
+    train: which rows to learn from.
     """
     spark = docs.sparkSession
-    named = docs.select(F.col(doc_id).alias("doc_id"), train.alias("train"), F.col(lang).cast("string").alias("lang"), F.col(text).alias("text"))
-    sizes = {r["lang"]: r["count"] for r in named.where("train").groupBy("lang").count().orderBy(F.desc("count"), "lang").collect()}
-    own = [x for x in sizes if x is not None]
-    classes = len(own) + 1  # the last one has those without lang
-    kind = F.lit(classes - 1)
-    for k, x in enumerate(own):
-        kind = F.when(F.col("lang") == x, k).otherwise(kind)
-    kind = F.when(F.col("train"), kind).otherwise(-1)
-
-    counted = named.select("text", kind.alias("kind")).mapInArrow(_counted, "word binary, kind int, n long")
-    by_class = [F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)).alias(f"c{k}") for k in range(classes)]
-    words = counted.groupBy("word").agg(F.sum("n").alias("a"), *by_class)
-    words = stored(words.withColumn("c", sum(F.col(f"c{k}") for k in range(classes))), "words")
+    named = docs.select(F.col(doc_id).alias("doc_id"), train.alias("train"), F.col(text).alias("text"))
+    counted = named.select("text", "train").mapInArrow(_counted, "word binary, a long, c long")
+    words = stored(counted.groupBy("word").agg(F.sum("a").alias("a"), F.sum("c").alias("c")), "words")
     ended = words.where(F.length("word") == 0).first()
-    in_class = np.array([ended[f"c{k}"] if ended else 0 for k in range(classes)], dtype=np.float64)
     n, v = words.where("c > 0").agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
 
     lattice = lattice_of(path)
-    log_p = estimated(np.zeros((lattice.size, classes)), lattice)
+    log_p = estimated(np.zeros(lattice.size), lattice)
     for _ in range(ROUNDS if n else 0):
-        shared = spark.sparkContext.broadcast(log_p)
-        seen = words.where((F.length("word") > 0) & (F.col("c") > 0)).mapInArrow(_expecting(path, shared, classes), "piece int, kind int, n double")
-        seen = seen.groupBy("piece", "kind").agg(F.sum("n").alias("n")).toArrow()
-        found = np.zeros((lattice.size, classes))
-        found[seen["piece"].to_numpy(), seen["kind"].to_numpy()] = seen["n"].to_numpy()
-        found[lattice.end] = in_class
+        seen = words.where((F.length("word") > 0) & (F.col("c") > 0)).mapInArrow(_expecting(path, spark.sparkContext.broadcast(log_p)), "piece int, n double")
+        seen = seen.groupBy("piece").agg(F.sum("n").alias("n")).toArrow()  # a row for each piece of the vocabulary at most
+        found = np.zeros(lattice.size)
+        found[seen["piece"].to_numpy()] = seen["n"].to_numpy()
+        found[lattice.end] = ended["c"]
         log_p = estimated(found, lattice)
-    sums = [F.coalesce(F.sum(f"c{k}"), F.lit(0)) for k in range(classes)]
-    kinds = [F.count(F.when(F.col(f"c{k}") > 0, 1)) for k in range(classes)]
-    totals = np.array(words.agg(*sums, *kinds).first(), dtype=np.float64)
-    shared = spark.sparkContext.broadcast((log_p, totals[:classes], totals[classes:]))
-    table = stored(words.mapInArrow(_likely(path, shared), "word binary, c long, a long, p array<float>"), "likely")
+    table = stored(words.mapInArrow(_likely(path, spark.sparkContext.broadcast(log_p)), "word binary, c long, a long, p double"), "likely")
 
     # frequent words: all those from the lowest power of two on from which there are at most `hot`
     power = F.floor(F.log2("a")).cast("int")
-    steps = table.groupBy(power.alias("power")).count().orderBy(F.desc("power")).collect()
+    steps = table.where(F.length("word") <= LONG).groupBy(power.alias("power")).count().orderBy(F.desc("power")).collect()
     least, n_held = 63, 0
     for r in steps:
         n_held += r["count"]
         if n_held > hot:
             break
         least = r["power"]
-    common = table.where(power >= least).toArrow()
+    common = table.where((power >= least) & (F.length("word") <= LONG)).toArrow()
     divisor = n + SMOOTH * (v + 1)
     counts = common["c"].to_numpy().astype(np.float64)
     frequent = spark.sparkContext.broadcast({
-        "key": uuid.uuid4().hex, "words": common["word"].to_pylist(), "known": counts > 0, "base": np.log10((counts + SMOOTH) / divisor),
-        "p": np.array(common["p"].to_pylist(), dtype=np.float32).reshape(-1, classes),
+        "key": uuid.uuid4().hex, "words": common["word"].to_pylist(), "known": counts > 0, "base": np.log10((counts + SMOOTH) / divisor), "p": common["p"].to_numpy(),
     })
     scored = named.select(F.struct("doc_id", "train").alias("row"), "text")
     field = f"row {scored.schema['row'].dataType.simpleString()}"
-    partial = scored.mapInArrow(_scored(frequent, classes), f"{field}, n_tokens long, known long, base double, sums array<double>, words array<binary>, times array<long>")
+    partial = scored.mapInArrow(_scored(frequent), f"{field}, n_tokens long, known long, base double, own double, words array<binary>, times array<long>")
     partial = stored(partial.withColumn("id", F.monotonically_increasing_id()), "partial")
     cold = partial.select("id", F.explode(F.arrays_zip("words", "times")).alias("x")).select("id", F.col("x.words").alias("word"), F.col("x.times").alias("times"))
     cold = cold.join(table.select("word", "c", "p"), "word")
     more = cold.groupBy("id").agg(
         F.sum(F.when(F.col("c") > 0, F.col("times")).otherwise(0)).alias("more_known"),
         F.sum(F.col("times") * F.log10((F.col("c") + SMOOTH) / F.lit(float(divisor)))).alias("more_base"),
-        *[F.sum(F.col("times") * F.col("p")[k].cast("double")).alias(f"more_{k}") for k in range(classes)],
+        F.sum(F.col("times") * F.col("p")).alias("more_own"),
     )
-    prior = np.log10((in_class + 1) / (in_class.sum() + classes))
-    sums = [F.lit(float(prior[k])) + F.col("sums")[k] + F.coalesce(f"more_{k}", F.lit(0.0)) for k in range(classes)]
-    top = F.greatest(*sums) if classes > 1 else sums[0]
-    marginal = top + F.log10(sum((F.pow(F.lit(10.0), s - top) for s in sums), F.lit(0.0)))
+    none = lambda c: F.coalesce(c, F.lit(0.0))
     return partial.drop("words", "times").join(more, "id", "left").select(
         "row.doc_id", "row.train", "n_tokens", (F.col("known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"),
-        F.lit(int(n)).cast("long").alias("train_tokens"), (F.col("base") + F.coalesce("more_base", F.lit(0.0))).alias("base_score"), marginal.alias("score"),
+        F.lit(int(n)).cast("long").alias("train_tokens"), (F.col("base") + none("more_base")).alias("base_score"), (F.col("own") + none("more_own")).alias("score"),
     )
