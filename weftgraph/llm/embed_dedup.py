@@ -12,7 +12,9 @@
    are counted. The count to pass is calibrated: a pair at the threshold reaches it with
    probability ``RECALL``.
 4. Pairs that pass are verified by their cosine in double precision. A pair that shares
-   cells in several tables is counted in the first alone.
+   cells in several tables is counted in the first alone. Vectors travel as they are
+   stored (single precision, if the column has that), with one cell; their other cells
+   are computed again where a pair passes.
 
 A cell of more than ``BLOCK`` vectors is met in pairs of blocks, each pair of blocks once,
 so no task holds an unbounded cell and nothing is capped. Only counts and a spanning set
@@ -87,39 +89,51 @@ def unit(vector: np.ndarray) -> np.ndarray:
     return vector / np.sqrt((vector * vector).sum(axis=-1, keepdims=True))
 
 
-def _classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(vec_id, label, embedding) to (vec_id, label, digest, vector bytes); null digest if unusable."""
-    for batch in batches:
-        digests, raws = [], []
-        for label, own in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
-            values = own.values
-            good = label is not None and values is not None and len(values) > 0 and values.null_count == 0
-            vector = values.to_numpy(zero_copy_only=False).astype(np.float64) if good else np.zeros(1)
-            with np.errstate(over="ignore", invalid="ignore"):
-                square = float((vector * vector).sum())
-            good = good and np.isfinite(vector).all() and 0 < square < math.inf
-            raw = (vector + 0.0).tobytes() if good else None
-            raws.append(raw)
-            digests.append(xxhash.xxh3_128_digest(raw) if good else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(raws, pa.binary())], names=["vec_id", "label", "digest", "raw"])
+def _classed(kind: str):
+    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(vec_id, label, embedding) to (vec_id, label, digest, vector bytes); null digest if unusable."""
+        for batch in batches:
+            digests, raws = [], []
+            for label, own in zip(batch.column(1).to_pylist(), batch.column(2), strict=True):
+                values = own.values
+                good = label is not None and values is not None and len(values) > 0 and values.null_count == 0
+                vector = values.to_numpy(zero_copy_only=False).astype(np.float64) if good else np.zeros(1)
+                with np.errstate(over="ignore", invalid="ignore"):
+                    square = float((vector * vector).sum())
+                good = good and np.isfinite(vector).all() and 0 < square < math.inf
+                raw = (vector + 0.0).astype(kind).tobytes() if good else None
+                raws.append(raw)
+                digests.append(xxhash.xxh3_128_digest(raw) if good else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(digests, pa.binary()), pa.array(raws, pa.binary())], names=["vec_id", "label", "digest", "raw"])
+
+    return classed
+
+
+def cells_of(vectors: np.ndarray, how: dict) -> np.ndarray:
+    """The cell of each unit vector in each table."""
+    along, shift, _ = _directions(vectors.shape[1], how)
+    window = np.floor((vectors @ along + shift) / how["width"]).astype(np.int64).reshape(len(vectors), how["tables"], how["axes"])
+    cells = np.full(window.shape[:2], vectors.shape[1], dtype=np.uint64)
+    for k in range(how["axes"]):
+        cells = (cells ^ window[:, :, k].astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
+        cells ^= cells >> np.uint64(29)
+    return cells.astype(np.int64)
 
 
 def _celled(how: dict):
-    """(id, label, copies, raw) to one row for each table: which cell, and the cells of all tables."""
+    """(id, label, copies, raw) to one row for each table: which cell."""
 
     def celled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        axes, tables = how["axes"], how["tables"]
         for batch in batches:
-            rows = []
-            for k, raw in enumerate(batch.column(3).to_pylist()):
-                vector = unit(np.frombuffer(raw))
-                along, shift, _ = _directions(len(vector), how)
-                window = np.floor((vector @ along + shift) / how["width"]).astype(np.int64).reshape(tables, axes)
-                cells = np.array([xxhash.xxh3_64_intdigest(w.tobytes(), seed=len(vector)) for w in window], dtype=np.uint64).astype(np.int64)
-                rows += [(k, t, int(cells[t]), cells.tobytes()) for t in range(tables)]
-            of, table, cell, cells = zip(*rows, strict=True) if rows else [()] * 4
-            held = batch.take(pa.array(of, pa.int64()))
-            yield pa.RecordBatch.from_arrays([*held.columns, pa.array(table, pa.int32()), pa.array(cell, pa.int64()), pa.array(cells, pa.binary())], names=[*batch.schema.names, "table", "cell", "cells"])
+            raws = batch.column(3).to_pylist()
+            sizes = np.array([len(x) for x in raws], dtype=np.int64)
+            for size in np.unique(sizes):
+                at = np.flatnonzero(sizes == size)
+                cells = cells_of(unit(np.frombuffer(b"".join(raws[k] for k in at), how["kind"]).reshape(len(at), -1)), how)
+                rows = batch.take(pa.array(at))
+                for t in range(how["tables"]):
+                    table = pa.array(np.full(len(at), t, np.int32))
+                    yield pa.RecordBatch.from_arrays([*rows.columns, table, pa.array(cells[:, t])], names=[*batch.schema.names, "table", "cell"])
 
     return celled
 
@@ -139,7 +153,7 @@ def collisions(lines: np.ndarray, reach: float) -> np.ndarray:
     return count + count.T
 
 
-def met(ids: np.ndarray, copies: np.ndarray, vectors: np.ndarray, cells: np.ndarray, table: int, own: np.ndarray, how: dict) -> tuple[np.ndarray, np.ndarray]:
+def met(ids: np.ndarray, copies: np.ndarray, vectors: np.ndarray, table: int, own: np.ndarray, how: dict) -> tuple[np.ndarray, np.ndarray]:
     """Links of each row in one group (a cell, or two blocks of one), and the row it is joined to."""
     n = len(ids)
     _, _, lines = _directions(vectors.shape[1], how)
@@ -148,6 +162,7 @@ def met(ids: np.ndarray, copies: np.ndarray, vectors: np.ndarray, cells: np.ndar
         passing &= own[:, None] != own[None, :]  # pairs within a block are met elsewhere
     p, q = np.nonzero(np.triu(passing, 1))
     if table and len(p):
+        cells = cells_of(vectors, how)
         new = (cells[p, :table] != cells[q, :table]).all(axis=1)
         p, q = p[new], q[new]
     linked = np.einsum("ij,ij->i", vectors[p], vectors[q]) >= how["cosine"]
@@ -172,13 +187,12 @@ def _grouped(how: dict):
     def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(rows: pa.Table, spans: list[tuple[int, int]]) -> pa.RecordBatch:
             ids, copies, own = (rows[c].to_numpy() for c in ("id", "copies", "own"))
-            table, raw, cells = rows["table"].to_numpy(), rows["raw"].to_pylist(), rows["cells"].to_pylist()
+            table, raw = rows["table"].to_numpy(), rows["raw"].to_pylist()
             found = []
             for a, b in spans:
                 if b - a > 1:
-                    vectors = unit(np.frombuffer(b"".join(raw[a:b])).reshape(b - a, -1))
-                    all_cells = np.frombuffer(b"".join(cells[a:b]), np.int64).reshape(b - a, -1)
-                    links, to = met(ids[a:b], copies[a:b], vectors, all_cells, int(table[a]), own[a:b], how)
+                    vectors = unit(np.frombuffer(b"".join(raw[a:b]), how["kind"]).reshape(b - a, -1))
+                    links, to = met(ids[a:b], copies[a:b], vectors, int(table[a]), own[a:b], how)
                     some = np.flatnonzero(links)
                     found.append((ids[a:b][some], links[some], ids[a:b][to][some]))
             parts = [np.concatenate(x) for x in zip(*found, strict=True)] if found else [np.empty(0, np.int64)] * 3
@@ -204,21 +218,22 @@ def groups(vectors: DataFrame, vec_id: str = "vec_id", embedding: str = "embeddi
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # a label is compared for equality alone, so its hash stands for it; a null stays one
     base = vectors.select(F.col(vec_id).cast("long").alias("vec_id"), F.when(F.col(label).isNotNull(), F.xxhash64(label)).alias("label"), F.col(embedding).cast("array<double>").alias("embedding"))
-    rows = stored(base.mapInArrow(_classed, "vec_id long, label long, digest binary, raw binary"), "vectors")
+    kind = "<f4" if vectors.schema[embedding].dataType.simpleString() == "array<float>" else "<f8"
+    rows = stored(base.mapInArrow(_classed(kind), "vec_id long, label long, digest binary, raw binary"), "vectors")
     usable = rows.where("vec_id is not null and digest is not null")
     classes = usable.groupBy("label", "digest").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies"), F.first("raw").alias("raw"))
     classes = stored(classes, "classes")
     largest = classes.groupBy("label").count().agg(F.max("count")).first()[0] or 0
-    how = calibrated(largest, cosine, recall)
+    how = calibrated(largest, cosine, recall) | {"kind": kind}
 
-    celled = classes.select("id", "label", "copies", "raw").mapInArrow(_celled(how), "id long, label long, copies long, raw binary, table int, cell long, cells binary")
+    celled = classes.select("id", "label", "copies", "raw").mapInArrow(_celled(how), "id long, label long, copies long, raw binary, table int, cell long")
     celled = celled.withColumn("size", F.length("raw"))
     key = ["label", "size", "table", "cell"]
     many = stored(celled.groupBy(*key).count().where("count > 1"), "cells")
     met_in = celled.join(many, key).withColumn("blocks", F.ceil(F.col("count") / BLOCK).cast("int"))
     met_in = met_in.withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     met_in = met_in.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    met_in = met_in.select(*key, "id", "copies", "raw", "cells", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
+    met_in = met_in.select(*key, "id", "copies", "raw", "own", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"))
     order = [*key, "low", "high"]
     met_in = met_in.repartition(parts, *order).sortWithinPartitions(*order, "id")
     found = stored(met_in.mapInArrow(_grouped(how), "id long, links long, to long"), "links")
