@@ -1,27 +1,26 @@
 """Every query over tables with nulls, repeats, odd texts and clashing columns, and over empty ones."""
 
+import public_tokenizers
 import pytest
-
+from tokenizers import Tokenizer
 
 import corpus_pipeline
+from weftgraph.llm import decontaminate, near_dup, packing, token_count
 from weftgraph.llm import queries as q
-from weftgraph.llm import near_dup, decontaminate, packing
 
-LONG = " ".join(f"wort{k % 997} und" for k in range(30_000))
+LONG = " ".join(f"wort{k % 997} und" for k in range(30_000))  # 60,000 words
 COPY = "one two three four five six seven eight nine ten eleven twelve"
 DOCS = [
     (1, COPY, "en", "s", 1), (1, COPY, "en", "s", 1), (2, COPY.upper(), "en", None, None), (3, None, "en", "s", 0), (4, "", None, "s", 0),
     (5, "12 34 ... !!!", "de", "s", 9), (None, COPY, "en", "s", 1), (None, None, None, None, None), (7, LONG, "de", "s", 1), (8, "a", "fr", "s", 1),
     (9, "日本語 текст \x1c\t<|endoftext|>", "fr", "s", 1), (10, "you are a fool. nice day", "en", "s", 1),
 ]
-CLASHING = ["row", "found", "n_words", "part", "number", "label", "id", "score", "held_out", "digest", "sequence_id"]
+CLASHING = ["row", "found", "n_words", "part", "number", "label", "id", "score", "held_out", "digest", "sequence_id", "url", "text", "token", "tokens", "embedding", "x", "node", "at", "word", "blocked"]
 
 
 def _tables(spark, folder, rows: bool):
     keep = lambda x: x if rows else []
     docs = spark.createDataFrame(keep(DOCS), "doc_id bigint, text string, lang string, source string, n_chars bigint")
-    for c in CLASHING:
-        docs = docs.selectExpr("*", f"'x' as {c}")
     tables = {
         "documents": docs,
         "benchmark": spark.createDataFrame(keep([(1, "zero ONE two three four five six seven eight nine ten"), (2, "fool."), (None, "nice day"), (3, None), (2, "fool.")]), "item_id bigint, text string"),
@@ -34,6 +33,9 @@ def _tables(spark, folder, rows: bool):
         "conversations": spark.createDataFrame(keep([(1, 0, "user", "hi"), (1, 1, "assistant", None), (2, 0, "user", "<|im_end|>"), (None, 0, "user", "x"), (3, 1, None, "b"), (3, 1, None, "a"), (3, None, "assistant", "<|"), (1, 1, "assistant", None)]), "conv_id bigint, turn bigint, role string, text string"),
     }
     for name, df in tables.items():
+        for c in CLASHING:
+            if c not in df.columns:
+                df = df.selectExpr("*", f"'x' as {c}")
         df.write.parquet(f"{folder}/{name}.parquet")
     return f"{folder}"
 
@@ -111,6 +113,11 @@ def test_clusters_beyond_a_block(spark, monkeypatch):
 def test_token_counts(spark, messy):
     got, by = rows(spark, messy, "op5_token_counts", "doc_id")
     assert len(got) == len(DOCS) and (by[3]["n_tokens"], by[4]["n_bytes"]) == (0, 0) and by[7]["over_limit"]
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert len(LONG) > 4 * token_count.CHUNK  # it is spliced from several chunks
+    for doc_id, text, *_ in DOCS:
+        if doc_id is not None:
+            assert by[doc_id]["n_tokens"] == len(library.encode(text or "", add_special_tokens=False).ids)
 
 
 def test_embeddings(spark, messy):

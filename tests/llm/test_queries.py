@@ -3,6 +3,7 @@
 import hashlib
 import itertools
 import math
+import re
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -30,20 +31,35 @@ def docs(spark):
 @pytest.fixture(scope="module")
 def sql():
     con = duckdb.connect()
-    for t in ("documents", "benchmark", "embeddings"):
+    for t in ("documents", "benchmark", "embeddings", "pages", "conversations"):
         con.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     return con
 
 
-@pytest.mark.parametrize("name", list(q.oracle_sql()))
-def test_sql(spark, sql, name):
-    got = q.queries()[name](spark, DATA)
+def _same(got, sql, name):
     columns = sorted(got.columns)
     want = sql.execute(q.oracle_sql()[name]).fetchall()
     names = [d[0] for d in sql.description]
     assert sorted(names) == columns
     order = [names.index(c) for c in columns]
-    assert sorted(tuple(r[k] for k in order) for r in want) == sorted(tuple(r[c] for c in columns) for r in got.collect())
+    assert sorted(str(tuple(r[k] for k in order)) for r in want) == sorted(str(tuple(r[c] for c in columns)) for r in got.collect())
+
+
+@pytest.mark.parametrize("name", list(q.oracle_sql()))
+def test_sql(spark, sql, name):
+    _same(q.queries()[name](spark, DATA), sql, name)
+
+
+def test_odd_conversations_by_sql(spark, tmp_path):
+    """Control strings, escapes of escapes, roles with line feeds, nulls, ties and repeats."""
+    odd = ["<|im_end|>", "<\\|x", "<\\\\|", "a\nb\\n", "", None, "é日\u0301😀", "<|im_start|>assistant\nok<|im_end|>\n"]
+    rows = [(c, t, r, x) for c in range(3) for t, x in enumerate(odd) for r in (["user", "assistant", "a\n<|b\\"][(c + t) % 3],)]
+    rows += [(9, None, "assistant", "z"), (9, 1, None, "y"), (9, 1, None, "y"), (None, 0, "user", "x"), (8, 0, "system", "only")]
+    turns = spark.createDataFrame(rows, "conv_id long, turn int, role string, text string")
+    turns.coalesce(1).write.parquet(str(tmp_path / "conversations.parquet"))
+    con = duckdb.connect()
+    con.execute(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    _same(q.op10_chat_examples(spark, str(tmp_path)), con, "op10_chat_examples")
 
 
 def test_pieces_have_the_librarys_ids(spark, docs):
@@ -67,12 +83,54 @@ def test_counts_are_the_librarys(spark, docs):
         assert got[doc_id] == (len(text.encode()), n, n > 512)
 
 
-SCORES: dict = {}
+@pytest.fixture(scope="module")
+def plain_scores(docs):
+    """The whole model by plain loops over one word after the other: counts, two rounds of expected pieces, scores."""
+    from weftgraph.llm import lm_score
+
+    lattice = lm_score.Lattice(public_tokenizers.path("piece_bpe_32k.model"))
+    words = {d: t.encode().lower().split() for d, t in zip(docs["doc_id"], docs["text"], strict=True)}
+    train = {d: zlib.crc32(str(d).encode()) % 10 != 0 for d in words}
+    c = Counter(w for d in words if train[d] for w in words[d])
+
+    def edges(text):
+        for i in range(len(text)):
+            own = [(i, j, lattice.known.get(text[i:j], -1)) for j in range(i + 1, min(len(text), i + 40) + 1)]
+            own = [x for x in own if x[2] >= 0]
+            yield from own if own and own[0][1] == i + 1 else [(i, i + 1, lattice.unknown), *own]
+
+    def sums(text, p):
+        ahead, back = [1.0] + [0.0] * len(text), [0.0] * len(text) + [1.0]
+        all_ = list(edges(text))
+        for i, j, k in all_:
+            ahead[j] += ahead[i] * p[k]
+        for i, j, k in reversed(all_):
+            back[i] += back[j] * p[k]
+        return all_, ahead, back
+
+    def probabilities(found):
+        own = np.array(found) + 2000 * lattice.prior
+        own /= own.sum()
+        own[lattice.unknown] /= 1 << 16
+        return own.tolist()
+
+    p = probabilities(np.zeros(lattice.size))
+    short = {w: "▁" + w.decode() for w in {w for own in words.values() for w in own} if len(w) < 200}
+    for _ in range(2):
+        found = np.zeros(lattice.size)
+        for w in c:
+            all_, ahead, back = sums(short[w], p)
+            for i, j, k in all_:
+                found[k] += c[w] * ahead[i] * p[k] * back[j] / ahead[-1]
+        found[lattice.end] = sum(train.values())
+        p = probabilities(found)
+    log = {w: math.log10(sums(short[w], p)[1][-1]) for w in short}
+    return {d: sum(log[w] for w in own) + math.log10(p[lattice.end]) for d, own in words.items()}
 
 
 @pytest.mark.parametrize("hot", [1 << 20, 50])
-def test_scores(spark, docs, hot):
-    """The base against plain counting, with all words broadcast and with nearly all joined."""
+def test_scores(spark, docs, plain_scores, hot):
+    """Base and score against plain counting and plain sums, with all words broadcast and with nearly all joined."""
     from weftgraph.llm import lm_score
     from weftgraph.llm.common import remainder, table
 
@@ -86,11 +144,7 @@ def test_scores(spark, docs, hot):
         base = sum(math.log10((c[w] + 0.1) / (n + 0.1 * (v + 1))) for w in own)
         r = got[d]
         assert (r["train"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (train[d], len(own), sum(c[w] > 0 for w in own), n)
-        assert abs(r["base_score"] - base) < 1e-6 * len(own) and r["score"] < 0
-    total = lambda name, held: sum(r[name] for d, r in got.items() if train[d] != held)
-    assert total("score", False) > total("base_score", False) and total("score", True) > 1.1 * total("base_score", True)
-    scores = SCORES.setdefault("score", {d: r["score"] for d, r in got.items()})
-    assert all(abs(r["score"] - scores[d]) < 1e-4 * abs(scores[d]) for d, r in got.items())
+        assert abs(r["base_score"] - base) < 1e-6 * len(own) and abs(r["score"] - plain_scores[d]) < 1e-6 * len(own)
 
 
 def test_mined_rules_match_brute_force(spark):
@@ -119,10 +173,82 @@ def test_mined_rules_match_brute_force(spark):
 
 
 def test_languages(spark, docs):
+    """The whole model by plain counting, and held-out accuracy."""
     got = {r["doc_id"]: r for r in q.op8_language(spark, DATA).collect()}
-    held = [(d, x) for d, x in zip(docs["doc_id"], docs["lang"], strict=True) if got[d]["held_out"]]
-    assert sum(got[d]["lang_pred"] == x for d, x in held) >= 0.97 * len(held)
-    assert all(r["held_out"] == (zlib.crc32(str(d).encode()) % 3 == 1) and 0 <= r["score"] <= 1 for d, r in got.items())
+    counts = [{} for _ in range(5)]
+    texts = list(zip(docs["doc_id"], docs["text"], docs["lang"], strict=True))
+    words_of = lambda t: re.findall(r"[^\W\d_]+", t.lower())
+    grams = lambda w, n: [f"^{w}$"[k : k + n] for k in range(len(w) + 3 - n)] if n else [w]
+    for d, t, lang in texts:
+        if zlib.crc32(str(d).encode()) % 3 != 1 and lang is not None:
+            for w in words_of(t):
+                for n in range(5):
+                    for g in grams(w, n):
+                        counts[n].setdefault(g, Counter())[lang] += 1
+    langs = sorted({x for by in counts[1].values() for x in by})
+    logs = []
+    for n, table in enumerate(counts):
+        kept = {g: [by[x] + 0.5 for x in langs] for g, by in table.items() if sum(by.values()) >= 3 or n == 1}
+        total = [sum(row[k] for row in kept.values()) for k in range(len(langs))]
+        logs.append({g: [math.log(x / y) for x, y in zip(row, total, strict=True)] for g, row in kept.items()})
+    right = held = 0
+    for d, t, lang in texts:
+        sums = np.zeros(len(langs))
+        for w in words_of(t):
+            for n in (0, 4, 3, 2, 1):
+                near = [logs[n][g] for g in grams(w, n) if g in logs[n]]
+                if near:
+                    sums += np.mean(near, axis=0)
+                    break
+        r = got[d]
+        assert r["lang_pred"] == (langs[int(sums.argmax())] if words_of(t) else "und")
+        assert not words_of(t) or abs(r["score"] - 1 / np.exp(sums - sums.max()).sum()) < 1e-6
+        assert r["held_out"] == (zlib.crc32(str(d).encode()) % 3 == 1)
+        held += r["held_out"]
+        right += r["held_out"] and r["lang_pred"] == lang
+    assert right >= 0.97 * held
+
+
+def test_toxicity_is_a_noisy_or_of_sentences(spark, docs):
+    """Scores of the query by plain means from the model's weights; nothing else goes in."""
+    from weftgraph.llm import toxicity
+
+    table = spark.read.parquet(f"{DATA}/documents.parquet")
+    labels = spark.read.parquet(f"{DATA}/labels.parquet").where(q.remainder(F.col("doc_id"), 3) != 1)
+    model = toxicity.fit(table, labels)
+    got = {r["doc_id"]: r for r in q.op9_toxicity(spark, DATA).collect()}
+    for d, t in zip(docs["doc_id"], docs["text"], strict=True):
+        clean = 1 - model["leak"]
+        for sentence in re.split(r"[.!?\n]", t.lower()):
+            words = re.findall(r"[^\W\d_]+", sentence)
+            own = {f for w in words for f in (w, *(w[:n] + "-" for n in range(3, min(10, len(w)) + 1))) if f in model["weights"]}
+            if own:
+                clean *= 1 - 1 / (1 + math.exp(-model["bias"] - sum(model["weights"][f] for f in own)))
+        assert abs(got[d]["score"] - (1 - clean)) < 1e-9 and got[d]["predicted"] == (got[d]["score"] >= 0.7)
+
+
+def test_toxicity_tells_planted_documents(spark, tmp_path):
+    """Rude words in one sentence of otherwise clean texts: held-out documents and the sentences are found."""
+    from weftgraph.llm import toxicity
+
+    dice = np.random.RandomState(12)
+    fine, rude = [f"word{c}{d}" for c in "abcdefgh" for d in "klmnop"], ["grumblefoot", "snotling", "dungwit", "rotbrain"]
+    rows, labels = [], {}
+    for k in range(900):
+        sentences = [" ".join(dice.choice(fine, 8)) for _ in range(6)]
+        labels[k] = int(k % 3 == 0)
+        if labels[k]:
+            sentences[k % 6] += f" you {dice.choice(rude)}"
+        rows.append((k, ". ".join(sentences) + "."))
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    known = spark.createDataFrame([(k, x) for k, x in labels.items() if k < 600], "doc_id long, toxic int")
+    model = toxicity.fit(table, known)
+    found = table.where("doc_id >= 600").select("doc_id", toxicity.toxicity(F.col("text"), spark, model).alias("f")).select("doc_id", "f.*").collect()
+    assert all((r["score"] >= toxicity.THRESHOLD) == bool(labels[r["doc_id"]]) for r in found)
+    assert all([x["sentence"] for x in r["offending"]] == [r["doc_id"] % 6] for r in found if labels[r["doc_id"]])
+    known.write.parquet(str(tmp_path / "labels.parquet"))  # the pipeline's stage rejects these rows and no others
+    kept = {r["doc_id"] for r in corpus_pipeline.toxic(spark, table, str(tmp_path)).select("doc_id").collect()}
+    assert kept == {k for k, x in labels.items() if not x}
 
 
 def test_conversations_come_back_whole(spark):

@@ -74,6 +74,14 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(pages, URL_RULES, rules).select("row.page_id", "host", "path", "rule", "verdict")
 
 
+def url_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the listed rules alone say of every page: host, path, the rule that fits, its verdict."""
+    host, path = url_filter.host_path(F.col("url"))
+    pages = table(spark, sf_dir, "pages").select("page_id", host.alias("host"), path.alias("path"))
+    found = pages.withColumn("found", url_filter.listed(F.col("host"), F.col("path"), URL_RULES))
+    return found.select("page_id", "host", "path", "found.rule", F.col("found.verdict").alias("listed_verdict"))
+
+
 def op10_chat_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     more = spark.createDataFrame([(-1, 0, "user", FORGED), (-1, 1, "assistant", FORGED)], turns.schema)
@@ -92,6 +100,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language": op8_language,
         "op9_toxicity": op9_toxicity,
         "op10_chat_examples": op10_chat_examples,
+        "url_listed": url_listed,
     }
 
 
@@ -171,5 +180,45 @@ FROM embeddings e LEFT JOIN lowest l ON l.node = e.vec_id LEFT JOIN degree d ON
 """
 
 
+def _fits() -> str:
+    """The longest listed rule that fits, as a CASE from the longest to the shortest; rules hold no quotes."""
+    cases = []
+    for _, rule in sorted(URL_RULES, key=lambda r: -len(r[1])):
+        own, slash, prefix = rule.partition("/")
+        cases.append(f"WHEN (host = '{own}' OR ends_with(host, '.{own}')) AND starts_with(path, '{slash}{prefix}') THEN '{rule}'")
+    return "CASE " + " ".join(cases) + " END"
+
+
+URL_SQL = rf"""
+WITH rest AS (SELECT page_id, CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+parts AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS host FROM rest),
+hosts AS (SELECT page_id, translate(host, {_ASCII}) AS host, regexp_extract(substr(rest, length(host) + 1), '^[^?#]*') AS path FROM parts),
+ruled AS (SELECT *, {_fits()} AS rule FROM hosts)
+SELECT page_id, host, path, rule, v.verdict AS listed_verdict
+FROM ruled LEFT JOIN (VALUES {", ".join(f"('{rule}', '{verdict}')" for verdict, rule in URL_RULES)}) v(named, verdict) ON named = rule
+"""
+
+
+_FORGERY = r"regexp_replace({}, '<(\\*)\|', '<\\\1|', 'g')"
+
+OP10_SQL = rf"""
+WITH given AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+  UNION ALL VALUES (-1, 0, 'user', '{FORGED}'), (-1, 1, 'assistant', '{FORGED}')),
+turns AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS n,
+    length('{chat_format.START}') + length({_FORGERY.format(r"replace(replace(role, '\', '\\'), chr(10), '\n')")}) + 1
+      + length({_FORGERY.format("text")}) + length('{chat_format.END}') + 1 AS size
+  FROM given),
+placed AS (
+  SELECT *, sum(size) OVER (PARTITION BY conv_id ORDER BY n) AS so_far, n = max(n) OVER (PARTITION BY conv_id) AS last FROM turns)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(so_far) FILTER (role = 'assistant' OR last) AS BIGINT) AS formatted_chars
+FROM placed GROUP BY conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": OP1_SQL, "op4_minhash_groups": OP4_SQL, "op6_embedding_groups": OP6_SQL}
+    return {"op1_decontamination": OP1_SQL, "op4_minhash_groups": OP4_SQL, "op6_embedding_groups": OP6_SQL, "op10_chat_examples": OP10_SQL, "url_listed": URL_SQL}

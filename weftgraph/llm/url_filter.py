@@ -12,7 +12,9 @@ is left out. FP-growth sees only tokens that rules may need, which changes no ru
 those too rare among blocked URLs, those of all URLs, those that block alone with
 certainty (a rule each), nor, of tokens that are always seen together, any but one; rules
 are written out for the others afterwards. What is left is held down by support alone: a
-common kind of URL with m tokens that come and go has up to 2^m combinations. Rules are
+common kind of URL with m tokens that come and go has up to 2^m combinations. Support is
+a share of the labelled URLs and never fewer than ``LEAST`` blocked ones, so that one page
+makes no rule in a small table. Rules are
 matched through an inverted index (token -> rule) against the distinct token sets of the
 URLs, however many URLs share one; a written table of matched sets is joined back, which
 is small or else split by adaptive execution.
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import lower_ascii, stored
 
-SUPPORT, CONFIDENCE, LIFT = 0.002, 0.6, 1.5
+SUPPORT, LEAST, CONFIDENCE, LIFT = 0.002, 5, 0.6, 1.5
 BLOCKED = "label=blocked"
 
 
@@ -83,24 +85,25 @@ def tokens(url: Column) -> Column:
 
 
 def mined(labelled: DataFrame, url: str = "url", blocked: str = "blocked", support: float = SUPPORT,
-          confidence: float = CONFIDENCE, lift: float = LIFT) -> DataFrame:
-    """rule (a number), antecedent, confidence, support of the rules that block."""
+          confidence: float = CONFIDENCE, lift: float = LIFT, least: int = LEAST) -> DataFrame:
+    """rule (a number), antecedent, confidence, support of the rules that block, each seen on `least` blocked URLs or more."""
     none = F.array().cast("array<string>")
     rows = labelled.where(F.col(blocked).isNotNull()).select(tokens(F.col(url)).alias("tokens"), F.col(blocked).alias("blocked"))
     rows = stored(rows.where("blocked or size(tokens) > 0").withColumn("id", F.xxhash64("tokens")), "labelled")
     n, n_blocked = rows.agg(F.count("*"), F.count_if("blocked")).first()
+    needed = max(1, least, math.ceil(support * n))
     sets = stored(rows.groupBy("id", "tokens").agg(F.count("*").alias("n"), F.count_if("blocked").alias("b")), "sets")
     # what each token is in: two hashes over the sets tell which tokens are always together
     held = sets.select("id", F.xxhash64("tokens", F.lit(1)).alias("more"), "n", "b", F.explode("tokens").alias("token"))
     facts = held.groupBy("token").agg(F.sum("n").alias("n"), F.sum("b").alias("b"), F.bit_xor("id").alias("x"), F.bit_xor("more").alias("y"))
-    facts = stored(facts.where(F.col("b") >= max(1, math.ceil(support * n))), "tokens")  # at most tokens of a URL / support
+    facts = stored(facts.where(F.col("b") >= needed), "tokens")  # at most tokens of a URL / support
     classes = facts.where((F.col("b") < F.col("n")) & ((F.col("n") < n) | F.lit(lift <= 1)))
     classes = stored(classes.groupBy("n", "b", "x", "y").agg(F.min("token").alias("token"), F.array_sort(F.collect_list("token")).alias("alike")).select("token", "alike"), "classes")
     kept = sets.select("id", F.explode("tokens").alias("token")).join(F.broadcast(classes.select("token")), "token")
     kept = stored(kept.groupBy("id").agg(F.array_sort(F.collect_list("token")).alias("kept")), "kept")
     items = F.concat(F.coalesce("kept", none), F.when(F.col("blocked"), F.array(F.lit(BLOCKED))).otherwise(none))
     baskets = stored(rows.select("id", "blocked").join(kept, "id", "left").select(items.alias("items")), "baskets")
-    model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(baskets)
+    model = FPGrowth(itemsCol="items", minSupport=min(1.0, (needed - 0.5) / max(n, 1)), minConfidence=confidence).fit(baskets)
     rules = model.associationRules.where((F.col("consequent")[0] == BLOCKED) & (F.col("lift") >= lift))
     named = F.array_sort("antecedent")
     rules = stored(rules.select(F.xxhash64(named).alias("rule"), named.alias("antecedent"), "confidence", "support"), "rules")
