@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Memory, held, sampled
+from .common import Memory, held, sampled, stored
 
 FIT_ROWS, MOST_FEATURES, LEAST, STRENGTH, THRESHOLD = 8000, 4000, 7, 6.0, 0.7
 _TOKEN = re.compile(r"[^\W\d_]+|[.!?\n]")
@@ -118,7 +118,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     known = known.where(F.col("id").isNotNull() & F.col("label").isin(0, 1)).groupBy("id").agg(F.max("label").alias("label"))
     picked = sampled(known.where("label = 1"), "id", rows // 2, "toxic").unionByName(sampled(known.where("label = 0"), "id", rows // 2, "toxic"))
     texts = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
-    joined = texts.join(F.broadcast(picked), "id").select("text", "label")  # about `rows` small rows at most
+    joined = stored(texts.join(F.broadcast(picked), "id").select("text", "label"), "sample")  # about `rows` small rows are broadcast
     n = {r["label"]: r["count"] for r in joined.groupBy("label").count().collect()}
     if len(n) < 2:
         return {"weights": {}, "bias": 0.0, "leak": 0.0}
