@@ -3,41 +3,17 @@
 from __future__ import annotations
 
 import gc
-import tempfile
-import uuid
 from collections.abc import Callable
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.rank import connected as components
+from ..sources.tables import shared_dir
+from ..sources.tables import written as stored
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir.
-
-    Only where the session names none (single-machine tests) a local one is made.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", "")
-    if not found:
-        jsc = spark.sparkContext._jsc.sc()
-        if jsc.getCheckpointDir().isEmpty():
-            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="weft-"))
-        found = jsc.getCheckpointDir().get()
-    return found.rstrip("/")
-
-
-def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write df once as Parquet in the shared folder and read it back.
-
-    Later reads neither recompute nor depend on an executor's disk. The files go
-    when the driver's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["Memory", "components", "held", "lower_ascii", "remainder", "sampled", "shared_dir", "stored", "table"]
 
 
 _HELD: dict[Any, Any] = {}
@@ -70,39 +46,6 @@ def lower_ascii(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), upper, upper.lower())
 
 
-def _low(edges: DataFrame, own: bool) -> DataFrame:
-    """The smallest neighbour of each u, with u itself if own."""
-    low = F.least(F.min("v"), F.col("u")) if own else F.min("v")
-    return edges.groupBy("u").agg(low.alias("m"))
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """(node, component) of every node that edges (a, b) name; component is the smallest node.
-
-    Alternates large-star and small-star steps until nothing changes, which takes a
-    number of rounds logarithmic in practice. Only edges move, never whole components;
-    each step's result is a written table, so that lineage stays short and a hub's join
-    can be split by adaptive execution.
-    """
-    pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v")
-    pairs = stored(pairs.distinct(), "edges")
-    while not pairs.isEmpty():
-        both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = stored(_low(both, True), "low")
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = stored(large, "large")
-        low = stored(_low(large, False), "low")
-        hung = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        pairs = stored(hung.unionByName(low.select("u", F.col("m").alias("v"))).where("u > v").distinct(), "small")
-        n, starts = pairs.agg(F.count("*"), F.countDistinct("u")).first()
-        if n == starts and pairs.join(pairs.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
-            break  # every node hangs on the smallest one of its component
-    tops = pairs.select(F.col("v").alias("node")).distinct()
-    return pairs.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
-        tops.select("node", F.col("node").alias("component"))
-    )
-
-
 class Memory(dict):
     """Remembers what `make` gives for a key; the keys used last stay, at most 2 * most of them."""
 
