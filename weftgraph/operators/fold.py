@@ -101,5 +101,10 @@ def segments_view(base_segments: DataFrame, state: DataFrame) -> DataFrame:
     )
 
 
+def of_keys(df: DataFrame, keys: DataFrame, column: str = "node_key") -> DataFrame:
+    """The rows of df whose key is in keys (node_key, distinct)."""
+    return df.join(keys.select(F.col("node_key").alias(column)), column, "left_semi")
+
+
 def live(nodes: DataFrame) -> DataFrame:
     return nodes.where("not is_stub and not is_tombstone")

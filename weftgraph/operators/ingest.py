@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import segment_prior
 from ..functions.ttl import Freshness
 from ..sources import schema as S
+from ..sources.tables import unsigned
 from . import mutate
 from .fold import live
 
@@ -61,11 +62,11 @@ def report(pages: DataFrame, export: DataFrame, nodes: DataFrame, edges: DataFra
 
 
 def crawl_seed(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(node_key, etag) of live nodes that have one; (node_key, urls) of their targets that have a url."""
+    """(node_key, etag) of live nodes that have one; (node_key, urls) of their targets that have a url, in the order of keys."""
     alive = live(nodes)
     urls = nodes.where("in_base and url <> ''").select(F.col("node_key").alias("dst_key"), "url")
     out = edges.join(alive.select(F.col("node_key").alias("src_key")), "src_key", "left_semi").join(urls, "dst_key")
-    lists = out.groupBy(F.col("src_key").alias("node_key")).agg(F.transform(F.array_sort(F.collect_list(F.struct("dst_key", "url"))), lambda x: x["url"]).alias("urls"))
+    lists = out.groupBy(F.col("src_key").alias("node_key")).agg(F.transform(F.array_sort(F.collect_list(F.struct(unsigned(F.col("dst_key")).alias("at"), "url"))), lambda x: x["url"]).alias("urls"))
     return alive.where("etag is not null").select("node_key", "etag"), lists
 
 

@@ -60,8 +60,8 @@ def set_segments(segs: DataFrame, committed: DataFrame | None = None, keys: Data
     return operation(sets, "segments", segs=bare)
 
 
-def capped_edges(edges: DataFrame, committed: DataFrame | None = None, enrich: bool = False) -> DataFrame:
-    """The edges that each source keeps: EDGES columns.
+def capped_edges(edges: DataFrame, committed: DataFrame | None = None, enrich: bool = False, keys: DataFrame | None = None) -> DataFrame:
+    """The edges that each source keeps: EDGES columns. keys: sources that may have no new edges, too.
 
     edges: src_key, pos, dst_key, etype, weight. Self-loops go, the first of equal targets
     stays, at most 64 in document order; the other tier's committed edges follow while
@@ -73,8 +73,10 @@ def capped_edges(edges: DataFrame, committed: DataFrame | None = None, enrich: b
         (F.col("e.etype") == S.RELATED).alias("inferred"), F.col("e.weight").alias("weight"),
     )
     if committed is not None:
-        sources = edges.select("src_key").distinct()
-        other = committed.where(F.col("tier_enrich") != F.lit(enrich)).join(sources, "src_key", "left_semi").join(new, ["src_key", "dst_key"], "left_anti")
+        sources = edges.select("src_key")
+        if keys is not None:
+            sources = sources.unionByName(keys.select(F.col("node_key").alias("src_key")))
+        other = committed.where(F.col("tier_enrich") != F.lit(enrich)).join(sources.distinct(), "src_key", "left_semi").join(new, ["src_key", "dst_key"], "left_anti")
         new = new.unionByName(other.select("src_key", F.lit(1).alias("turn"), F.col("dst_key").bitwiseXOR(F.lit(-(1 << 63))).alias("place"), "dst_key", "etype", "tier_enrich", "inferred", "weight"))
     order = W.partitionBy("src_key").orderBy("turn", "place", "dst_key")
     return new.withColumn("n", F.row_number().over(order)).where(F.col("n") <= S.MAX_EDGES).drop("turn", "place", "n")
@@ -82,7 +84,7 @@ def capped_edges(edges: DataFrame, committed: DataFrame | None = None, enrich: b
 
 def set_edges(edges: DataFrame, committed: DataFrame | None = None, enrich: bool = False, keys: DataFrame | None = None) -> DataFrame:
     one = F.struct(F.col("dst_key").bitwiseXOR(F.lit(-(1 << 63))).alias("o"), "dst_key", "etype", "tier_enrich", "inferred", "weight")
-    sets = capped_edges(edges, committed, enrich).groupBy(F.col("src_key").alias("node_key")).agg(F.array_sort(F.collect_list(one)).alias("all"))
+    sets = capped_edges(edges, committed, enrich, keys).groupBy(F.col("src_key").alias("node_key")).agg(F.array_sort(F.collect_list(one)).alias("all"))
     if keys is not None:
         sets = keys.select("node_key").distinct().join(sets, "node_key", "left")
         empty = F.array().cast("array<struct<o:bigint,dst_key:bigint,etype:int,tier_enrich:boolean,inferred:boolean,weight:int>>")
@@ -90,11 +92,13 @@ def set_edges(edges: DataFrame, committed: DataFrame | None = None, enrich: bool
     return operation(sets, "edges", edges=F.transform("all", lambda e: e.dropFields("o")))
 
 
-def touch(touches: DataFrame, nodes: DataFrame, how: Freshness = Freshness()) -> DataFrame:
+def touch(touches: DataFrame, nodes: DataFrame, how: Freshness = Freshness(), check: bool = True) -> DataFrame:
     """touches: node_key, checked_at_ms, outcome, content_hash, etag (pos, if a key comes twice: the last wins).
 
     Keys that are no committed nodes give nothing. Each row carries the full new state.
     """
+    if check:
+        _refuse(touches, ~label_fits(F.col("etag")), "an etag has more than 2048 bytes")
     t = touches if "pos" in touches.columns else touches.withColumn("pos", F.lit(0))
     t = t.select(F.col("node_key"), F.struct("pos", "checked_at_ms", "outcome", "content_hash", "etag").alias("t"))
     both = t.join(nodes.select("node_key", "interval_s", "checks", "changes", "last_change_ms", F.col("content_hash").alias("own_hash"), F.col("etag").alias("own_etag")), "node_key")

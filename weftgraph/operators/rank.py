@@ -9,11 +9,11 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strength
 from ..sources.schema import LINK
-from ..sources.tables import numbered, unsigned, written
+from ..sources.tables import freed, numbered, unsigned, written
 
 DAMPING, ROUNDS, SWEEPS, MUTED = 0.85, 20, 10, 3
-#: Up to so many links PageRank runs as one array program on the driver (16 bytes each).
-LOCAL_LINKS = 4_000_000
+#: Up to so many links and nodes PageRank and communities run as one array program on the driver (16 bytes each).
+LOCAL_LINKS = 200_000
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -44,6 +44,11 @@ def hub_threshold(degree: DataFrame) -> int:
     return (1 << 63) - 1 if found is None else max(8, found)
 
 
+def _lost(rank: DataFrame) -> float:
+    """The rank of nodes without links, which all share."""
+    return rank.where("out is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
+
+
 def pagerank(nodes: DataFrame, edges: DataFrame, local: int = LOCAL_LINKS) -> DataFrame:
     """node_key, rank after 20 rounds over links alone, dangling mass spread evenly."""
     links = edges.where(F.col("etype") == LINK).select("src_key", "dst_key")
@@ -65,13 +70,14 @@ def pagerank(nodes: DataFrame, edges: DataFrame, local: int = LOCAL_LINKS) -> Da
     out = links.groupBy(F.col("src_key").alias("node_key")).agg(F.count("*").alias("out"))
     links = written(links.join(out, F.col("src_key") == F.col("node_key")).select("src_key", "dst_key", "out"), "links")
     rank = written(ids.join(out, "node_key", "left").select("node_key", "out", F.lit(1 / n).alias("rank")), "rank")
-    for k in range(ROUNDS):
-        dangling = rank.where("out is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("d"))
+    lost = _lost(rank)
+    for _ in range(ROUNDS):
         given = links.join(rank.select(F.col("node_key").alias("src_key"), "rank"), "src_key").groupBy(F.col("dst_key").alias("node_key")).agg(F.sum(F.col("rank") / F.col("out")).alias("got"))
-        spread = dangling.first()["d"] / n
-        rank = rank.select("node_key", "out").join(given, "node_key", "left").select("node_key", "out", ((1 - DAMPING) / n + DAMPING * (F.coalesce("got", F.lit(0.0)) + spread)).alias("rank"))
-        if k % 5 == 4:
-            rank = written(rank, "rank")
+        last = rank
+        new = (1 - DAMPING) / n + DAMPING * (F.coalesce("got", F.lit(0.0)) + lost / n)
+        rank = written(rank.select("node_key", "out").join(given, "node_key", "left").select("node_key", "out", new.alias("rank")), "rank")
+        lost = _lost(rank)  # read from the written round, so that no join runs twice
+        freed(last)
     return rank.select("node_key", "rank")
 
 
@@ -117,7 +123,8 @@ def communities(ids: DataFrame, edges: DataFrame, local: int = LOCAL_LINKS) -> D
     sweeps are sequential in id order by definition. Components don't influence each
     other but through the common hub cut and the common last sweep, so each runs by itself
     and reports every sweep; the first sweep in which nothing changed anywhere is the last.
-    The largest component must fit in one task.
+    The largest component must fit in one task: by definition a node's label depends on those
+    that nodes before it got in the same sweep, so a component has no order but the one of ids.
     """
     pair = edges.join(ids.select(F.col("node_key").alias("src_key"), F.col("node_id").alias("u")), "src_key").join(ids.select(F.col("node_key").alias("dst_key"), F.col("node_id").alias("v")), "dst_key")
     pair = written(pair.select("u", "v", strength(F.col("weight"), F.col("inferred")).alias("w")), "pairs")
@@ -156,16 +163,29 @@ def communities(ids: DataFrame, edges: DataFrame, local: int = LOCAL_LINKS) -> D
 
 
 def connected(edges: DataFrame) -> DataFrame:
-    """(node, component) of the nodes in edges (a, b): the smallest node of each component."""
-    pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct()
-    pairs = written(pairs, "edges")
+    """(node, component) of the nodes in edges (a, b): the smallest node of each component.
+
+    Alternates large-star and small-star steps until nothing changes, which takes a number
+    of rounds logarithmic in practice. Only edges move, never whole components; each step's
+    result is a written table, so that lineage stays short and a hub's join can be split by
+    adaptive execution, and goes when the next one is there.
+    """
+
+    def low(of: DataFrame, own: bool) -> DataFrame:
+        """The smallest neighbour of each u, with u itself if own."""
+        return written(of.groupBy("u").agg((F.least(F.min("v"), F.col("u")) if own else F.min("v")).alias("m")), "low")
+
+    pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v")
+    pairs = written(pairs.distinct(), "edges")
     while not pairs.isEmpty():
         both = pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "low")
-        large = written(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
-        low = written(large.groupBy("u").agg(F.min("v").alias("m")), "low")
-        hung = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        pairs = written(hung.unionByName(low.select("u", F.col("m").alias("v"))).where("u > v").distinct(), "small")
+        least = low(both, True)
+        large = written(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
+        freed(pairs, least)
+        least = low(large, False)
+        hung = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        pairs = written(hung.unionByName(least.select("u", F.col("m").alias("v"))).where("u > v").distinct(), "small")
+        freed(large, least)
         n, starts = pairs.agg(F.count("*"), F.countDistinct("u")).first()
         if n == starts and pairs.join(pairs.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
             break  # every node hangs on the smallest one of its component

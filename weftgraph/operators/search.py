@@ -1,8 +1,8 @@
 """Token-budgeted lookup: tiered lexical scores, hub-refusing graph expansion, a budget.
 
-Many queries are answered in one job: `queries` has query_id and text. The terms of the
-queries are the small side of the only non-equi join (token contains term), against the
-lexicon's distinct tokens; all else are equi joins and windows per query.
+Many queries are answered in one job: `queries` has query_id and text. Terms meet the
+distinct tokens that contain them by an equi join on substrings; all else are equi joins
+and windows per query.
 """
 
 from __future__ import annotations
@@ -34,14 +34,37 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return found.select("query_id", F.size("terms").cast("long").alias("n_terms"), F.explode("terms").alias("term"))
 
 
+def containing(tokens_: DataFrame, terms_: DataFrame) -> DataFrame:
+    """term, token of every token that contains a term. tokens_: token, distinct; terms_: term, distinct.
+
+    An equi join: terms meet the substrings of tokens that have a term's length. A token of c
+    characters gives c substrings for each length that terms have; lengths are driver-sized.
+    """
+    lengths = [r[0] for r in terms_.select(F.length("term").alias("n")).distinct().orderBy("n").limit(65).collect()]
+    if not lengths:
+        return tokens_.join(terms_.limit(0)).select("term", "token")
+    if len(lengths) > 64:  # absurdly many: start with the shortest length alone and look at the rest
+        least = lengths[0]
+        parts = tokens_.select("token", F.explode(_parts(least)).alias("part")).join(terms_.select("term", F.substring("term", 1, least).alias("part")), "part")
+        return parts.where(F.contains(F.col("token"), F.col("term"))).select("term", "token").distinct()
+    parts = F.array_distinct(F.flatten(F.array(*[_parts(n) for n in lengths])))
+    return tokens_.select("token", F.explode(parts).alias("term")).join(terms_, "term").select("term", "token")
+
+
+def _parts(n: int):
+    """All substrings of n characters of `token`."""
+    last = F.length("token") - n + 1
+    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda k: F.substring(F.col("token"), k, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+
 def contributions(of: DataFrame, postings: DataFrame, n_nodes: int) -> DataFrame:
     """query_id, n_terms, term, node_key, contribution: the best tier times idf, for each term and node.
 
-    Terms are driver-sized input: they are told apart once, and matched with distinct tokens.
+    Terms are told apart once, and matched with distinct tokens.
     """
     lexicon = postings.groupBy("token").agg(F.count("*").alias("df"))
     distinct = of.select("term").distinct()
-    hits = lexicon.join(F.broadcast(distinct), F.contains(F.col("token"), F.col("term"))) if _bounded(distinct) else lexicon.join(distinct, F.contains(F.col("token"), F.col("term")))
+    hits = containing(lexicon.select("token"), distinct)
     hits = hits.select("term", "token", tier(F.col("token"), F.col("term")).alias("tier"))
     exact = lexicon.select(F.col("token").alias("term"), "df")
     best = hits.join(postings, "token").groupBy("term", "node_key").agg(F.max("tier").alias("tier"))
@@ -50,10 +73,6 @@ def contributions(of: DataFrame, postings: DataFrame, n_nodes: int) -> DataFrame
     return of.join(scored, "term").select("query_id", "n_terms", "term", "node_key", "contribution")
 
 
-def _bounded(df: DataFrame, most: int = 50_000) -> bool:
-    return df.limit(most + 1).count() <= most
-
-
 def lexical(found: DataFrame) -> DataFrame:
     """query_id, node_key, matched, score: contributions times the squared share of matched terms."""
     summed = found.groupBy("query_id", "node_key", "n_terms").agg(F.sum("contribution").alias("tiered"), F.count("*").alias("matched"))
@@ -94,8 +113,8 @@ def fresh_scores(of: DataFrame, nodes: DataFrame, n_nodes: int) -> DataFrame:
     words = nodes.where("not in_base and not is_tombstone and url <> ''").select(
         "node_key", F.explode(F.array_distinct(F.flatten(F.array(tokens(searchable_url(F.col("url"))), tokens(F.col("title")), tokens(F.col("snippet")))))).alias("token")
     )
-    distinct = of.select("term").distinct()
-    best = words.join(F.broadcast(distinct), F.contains(F.col("token"), F.col("term"))).groupBy("term", "node_key").agg(F.max(tier(F.col("token"), F.col("term"))).alias("tier"))
+    hits = containing(words.select("token").distinct(), of.select("term").distinct())
+    best = words.join(hits, "token").groupBy("term", "node_key").agg(F.max(tier(F.col("token"), F.col("term"))).alias("tier"))
     scored = best.select("term", "node_key", (F.col("tier") * F.log(F.lit(1.0 + max(n_nodes, 1)))).alias("contribution"))
     return lexical(of.join(scored, "term").select("query_id", "n_terms", "term", "node_key", "contribution")).select("query_id", "node_key", "score")
 

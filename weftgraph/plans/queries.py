@@ -131,8 +131,9 @@ def _found(spark: SparkSession, nodes: DataFrame) -> DataFrame:
 
 
 def tokenize_df(spark, d):
-    words = _table(spark, d, "documents").select("doc_id", F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("token"))
-    return words.groupBy("token").agg(F.countDistinct("doc_id").alias("df"))
+    """Documents that have each token; ids are unique, so that a row's distinct tokens count once without a further shuffle."""
+    words = _table(spark, d, "documents").select(F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("token"))
+    return words.groupBy("token").agg(F.count("*").alias("df"))
 
 
 def lexical_search(spark, d):

@@ -34,6 +34,7 @@ class Config:
     auto_compact_bytes: int = S.AUTO_COMPACT_BYTES
     ttl: Freshness = field(default_factory=Freshness)
     communities: bool = True
+    lock_lease_s: int = 86_400  # on remote folders: a lock that no commit has renewed for so long is void
 
 
 @dataclass(frozen=True)
@@ -91,6 +92,13 @@ class _Files:
         options[0] = getattr(self.jvm, "org.apache.hadoop.fs.Options$Rename").OVERWRITE
         context.rename(new, self._path(name), options)
 
+    def age_s(self, name: str) -> float:
+        """Seconds since a file was last written; 0 if there is none."""
+        return time.time() - self.fs.getFileStatus(self._path(name)).getModificationTime() / 1000 if self.exists(name) else 0.0
+
+    def touch(self, name: str) -> None:
+        self.fs.setTimes(self._path(name), int(time.time() * 1000), -1)
+
     def create(self, name: str) -> None:
         self.fs.create(self._path(name), False).close()
 
@@ -148,6 +156,8 @@ class Store:
                 self._lock.close()
                 raise LockedError(f"{self.root} is open for writing") from e
         else:
+            if self.files.age_s("store.lock") > self.config.lock_lease_s:
+                self.files.delete("store.lock")  # of a writer that ended without closing
             try:
                 self.files.create("store.lock")
             except Exception as e:
@@ -169,13 +179,23 @@ class Store:
 
     def _manifest(self) -> Manifest:
         try:
-            return Manifest(**json.loads(self.files.read("manifest.json")))
+            found = Manifest(**json.loads(self.files.read("manifest.json")))
         except (ValueError, TypeError) as e:
             raise CorruptError(f"manifest of {self.root}: {e}") from e
+        if not all(isinstance(x, int) and x >= 0 for x in asdict(found).values()):
+            raise CorruptError(f"manifest of {self.root} has values that are no counts")
+        if found.last_seq < found.applied_seq or found.generation < 1:
+            raise CorruptError(f"the log of {self.root} ends at {found.last_seq}, before its base ({found.applied_seq})")
+        missing = [name for name in TABLES if not self.files.exists(f"gen={found.generation}/{name}/_SUCCESS")]
+        if missing:
+            raise CorruptError(f"generation {found.generation} of {self.root} has no {', '.join(missing)}")
+        return found
 
     def _put(self, manifest: Manifest) -> None:
         self.files.replace("manifest.json", json.dumps(asdict(manifest)))
         self.manifest = manifest
+        if self._lock is True:
+            self.files.touch("store.lock")
 
     def reload_if_stale(self) -> bool:
         """Whether anything was committed or compacted since this handle last looked."""
@@ -309,7 +329,23 @@ class Store:
             self.compact()
         return found
 
-    ingest_refresh = sync_from = ingest_update
+    ingest_refresh = ingest_update
+
+    def sync_from(self, pages: DataFrame, export: DataFrame, now_ms: int | None = None, max_due: int | None = None) -> dict[str, int]:
+        """ingest_update with the counters of the whole round: those of pages by change, the due ones, and the store's size.
+
+        max_due: at most so many due urls are counted (all of them if None); not negative.
+        """
+        if max_due is not None and max_due < 0:
+            raise ValueError("max_due is negative")
+        at = int(time.time() * 1000) if now_ms is None else now_ms
+        by = {r["change"]: r["count"] for r in pages.groupBy("change").count().collect()}
+        odd = set(by) - {"added", "updated", "unchanged", "removed", "skipped"}
+        if odd:
+            raise ValueError(f"unknown changes: {sorted(map(str, odd))}")
+        due = self.due_urls(at, (1 << 31) - 1 if max_due is None else max_due).count()
+        found = self.ingest_update(pages, export, at)
+        return found | {k: by.get(k, 0) for k in ("added", "updated", "unchanged", "removed", "skipped")} | {"due": due, "nodes": len(self), "generation": self.generation}
 
     def crawl_seed(self) -> tuple[DataFrame, DataFrame]:
         snap = self.snapshot()
@@ -336,11 +372,19 @@ class Snapshot:
 
     @cached_property
     def ops(self) -> DataFrame:
-        path = f"{self.store.root}/ops/gen={self.manifest.generation}"
-        if self.manifest.last_seq == self.manifest.applied_seq:
+        """The log's operations that the base doesn't hold. Refuses a log whose numbers are not those of the manifest."""
+        path, m = f"{self.store.root}/ops/gen={self.manifest.generation}", self.manifest
+        if m.last_seq == m.applied_seq:
             return self.spark.createDataFrame([], S.OPS)
         seq = F.col("seq")
-        return self.spark.read.schema(S.OPS).option("recursiveFileLookup", "true").parquet(path).where((seq > self.manifest.applied_seq) & (seq <= self.manifest.last_seq))
+        log = self.spark.read.schema(S.OPS).option("recursiveFileLookup", "true").parquet(path)
+        own = log.where((seq > m.applied_seq) & (seq <= m.last_seq))
+        n, low, high, before = log.agg(F.count_if((seq > m.applied_seq) & (seq <= m.last_seq)), F.min("seq"), F.max("seq"), F.count_if(seq <= m.applied_seq)).first()
+        if before:
+            raise CorruptError(f"the log starts at {low}, before what the base holds ({m.applied_seq})")
+        if n != m.last_seq - m.applied_seq or own.select("seq").distinct().count() != n:
+            raise CorruptError(f"the log has {n} operations up to {high}, the manifest names {m.last_seq - m.applied_seq} up to {m.last_seq}")
+        return own
 
     @cached_property
     def state(self) -> DataFrame:
@@ -350,6 +394,15 @@ class Snapshot:
     def nodes(self) -> DataFrame:
         return fold.nodes_view(self.base("nodes"), self.state, self.base("ranks"), self.ttl)
 
+    def of_keys(self, keys: DataFrame | int) -> DataFrame:
+        """The nodes of some keys: base and state are filtered before they meet. One key reaches the scan as a filter."""
+        if isinstance(keys, int):
+            some = lambda df: df.where(F.col("node_key") == keys)
+        else:
+            named = keys.select("node_key").distinct()
+            some = lambda df: fold.of_keys(df, named)
+        return fold.nodes_view(some(self.base("nodes")), some(self.state), some(self.base("ranks")), self.ttl)
+
     @cached_property
     def edges(self) -> DataFrame:
         return fold.edges_view(self.base("edges"), self.state)
@@ -371,16 +424,20 @@ class Snapshot:
         return rank.hub_threshold(self.degree)
 
     def node(self, key: int):
-        return self.nodes.where(F.col("node_key") == key).first()
+        return self.of_keys(key).first()
 
     def node_by_id(self, node_id: int):
-        return self.nodes.where(F.col("node_id") == node_id).first()
+        row = self.base("ranks").where(F.col("node_id") == node_id).first()
+        return row and self.node(row["node_key"])
 
     def neighbors(self, key: int) -> DataFrame:
-        return graph.neighbors(self.edges, self.nodes, key)
+        one = lambda df, c: df.where(F.col(c) == key)
+        own = written(fold.edges_view(one(self.base("edges"), "src_key"), one(self.state, "node_key")), "own")
+        return graph.neighbors(own, self.of_keys(own.select(F.col("dst_key").alias("node_key"))), key)
 
     def segments_of(self, key: int) -> DataFrame:
-        return self.segments.where(F.col("node_key") == key).orderBy("ordinal")
+        one = lambda df: df.where(F.col("node_key") == key)
+        return fold.segments_view(one(self.base("segments")), one(self.state)).orderBy("ordinal")
 
     def community_of(self, key: int):
         row = self.base("ranks").where(F.col("node_key") == key).first()
@@ -408,7 +465,7 @@ class Snapshot:
         return graph.community_summary(self.base("ranks").where(F.col("community") == community), self.base("nodes"), top).first()
 
     def surprises(self, k: int = 10) -> DataFrame:
-        return graph.surprises(self.base("edges"), self.base("ranks"), self.nodes, k)
+        return graph.surprises(self.edges, self.base("ranks"), self.nodes, k)
 
     def due(self, now_ms: int, most: int = 64) -> DataFrame:
         return fresh.due(self.nodes, now_ms, most, self.ttl)
@@ -449,13 +506,13 @@ class Writer:
         return self._stage(mutate.set_edges(edges, self.view.edges, keys=keys))
 
     def touch(self, touches: DataFrame) -> Writer:
-        return self._stage(mutate.touch(touches, self.view.nodes, self.view.ttl))
+        return self._stage(mutate.touch(touches, self.view.of_keys(touches), self.view.ttl))
 
     def set_importance(self, scores: DataFrame) -> Writer:
         return self._stage(mutate.set_importance(scores))
 
     def set_pinned(self, pins: DataFrame) -> Writer:
-        return self._stage(mutate.set_pinned(pins, self.view.nodes, self._upserts))
+        return self._stage(mutate.set_pinned(pins, self.view.of_keys(pins), self._upserts))
 
     def remove(self, keys: DataFrame) -> Writer:
         return self._stage(mutate.remove(keys))

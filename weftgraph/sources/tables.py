@@ -10,13 +10,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..errors import StoreIOError
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's checkpoint folder, which all executors share; a local one only if none is named."""
+    """The session's checkpoint folder, which all executors share. A local one only if none is named and
+    driver and executors are one machine."""
     found = spark.conf.get("spark.checkpoint.dir", "")
     if not found:
         jsc = spark.sparkContext._jsc.sc()
         if jsc.getCheckpointDir().isEmpty():
+            if not spark.sparkContext.master.startswith("local"):
+                raise StoreIOError("spark.checkpoint.dir names no folder that all executors share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="weft-"))
         found = jsc.getCheckpointDir().get()
     return found.rstrip("/")
@@ -32,6 +37,14 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def freed(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing reads any more."""
+    for df in tables:
+        for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            where = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def unsigned(key: Column) -> Column:
     """Orders signed 64-bit keys as unsigned ones."""
     return key.bitwiseXOR(F.lit(-(1 << 63)))
