@@ -149,7 +149,7 @@ def search(queries: DataFrame, nodes: DataFrame, edges: DataFrame, segments: Dat
     new = fresh_scores(of, nodes, n_base)
     new_top = new.groupBy("query_id").agg(F.max("score").alias("top"))
     new = new.join(new_top, "query_id").select("query_id", "node_key", (LEXICAL * F.col("score") / F.col("top")).alias("score"), F.lit(True).alias("seed"))
-    order = W.partitionBy("query_id").orderBy(F.desc("seed"), F.desc("score"), unsigned(F.col("node_key")))
+    order = W.partitionBy("query_id").orderBy(F.desc("seed"), F.desc(F.round("score", 9)), unsigned(F.col("node_key")))  # sums come in any order
     hits = fused.unionByName(new).withColumn("place", F.row_number().over(order)).where(F.col("place") <= how.limit)
     hits = written(hits, "hits")
     shown = hits.join(nodes.select("node_key", "url", "title", "snippet"), "node_key").join(anchors(of, hits.select("query_id", "node_key"), segments), ["query_id", "node_key"], "left")

@@ -17,7 +17,7 @@ from ..operators import compact, fold, fresh, graph, ingest, mutate, rank
 from ..operators import search as lookup
 from ..sources import pages as html
 from ..sources import schema as S
-from ..sources.tables import written
+from ..sources.tables import numbered, written
 
 PART = 1_000_000  # parts' keys follow the suppliers'
 NOW_MS = 1_704_200_000_000
@@ -193,28 +193,50 @@ def bfs_expand(spark, d):
     return got.select("query_id", "node_key", F.round("arrival", 6).alias("arrival"), "seed")
 
 
+def segments_of(spark, d) -> DataFrame:
+    """Two headings for each part: its type, and the more important brand."""
+    part = _table(spark, d, "part")
+    one = lambda k, label: part.select((F.col("p_partkey") + PART).alias("node_key"), F.lit(k).alias("ordinal"), F.col(label).alias("label"), F.lit(None).cast("long").alias("byte_start"), F.lit(None).cast("long").alias("byte_len"), F.lit(1).alias("depth"), F.lit(100 * (k + 1)).alias("importance"), F.lit(False).alias("llm_scored"))
+    return one(0, "p_type").unionByName(one(1, "p_brand"))
+
+
+def _logged(ops: DataFrame) -> DataFrame:
+    """Operation rows of distinct keys as a log."""
+    return ops.drop("pos").withColumn("seq", F.lit(1).cast("long"))
+
+
 def search_budget(spark, d):
-    nodes, edges = nodes_of(spark, d), written(edges_of(spark, d), "edges")
+    """The whole lookup: hops, hub refusal, ranks, fresh and removed nodes, headings, anchors, the budget."""
+    nodes, edges, segs = nodes_of(spark, d), written(edges_of(spark, d), "edges"), segments_of(spark, d)
     degree = written(rank.degrees(nodes, edges), "degree")
-    view = nodes.withColumns({"in_base": F.lit(True), "base_stub": F.col("is_stub"), "base_tombstone": F.col("is_tombstone"), "permille": F.lit(0)})
-    none = spark.createDataFrame([], S.SEGMENTS)
-    hits = lookup.search(_searches(spark), view, edges, none, compact.postings(nodes, none), degree, rank.hub_threshold(degree), nodes.count(), lookup.QueryOptions(limit=12, depth=0, budget=60))
-    return hits.select("query_id", "place", "node_key", F.round("score", 6).alias("score"), "cost")
+    permille = written(rank.permille(rank.pagerank(nodes, edges), degree), "permille")
+    fresh_docs = _table(spark, d, "customer").where(F.col("c_custkey") % 50 == 0).select(
+        (F.col("c_custkey") + 2 * PART).alias("node_key"), F.concat(F.lit("https://new.example.com/"), F.col("c_custkey").cast("string")).alias("url"), F.concat(F.lit("red "), "c_mktsegment", F.lit(" small")).alias("title"),
+        F.lit(None).cast("string").alias("snippet"), F.lit(None).cast("string").alias("etag"), F.lit(1).cast("long").alias("content_hash"), F.lit(NOW_MS).alias("fetched_at_ms"), F.lit(False).alias("pinned"),
+    )
+    log = _logged(mutate.remove(nodes.where(F.col("node_key") % 37 == 3)).unionByName(mutate.upsert_nodes(fresh_docs, check=False)))
+    state = written(fold.fold(log), "state")
+    view = written(fold.nodes_view(nodes, state, permille), "view")
+    hits = lookup.search(_searches(spark), view, written(fold.edges_view(edges, state), "merged"), fold.segments_view(segs, state), compact.postings(nodes, segs), degree, rank.hub_threshold(degree), nodes.count())
+    return hits.select("query_id", "place", "node_key", "title", "anchor", F.round("score", 6).alias("score"), "seed", "cost")
 
 
 def path(spark, d):
-    pairs = _table(spark, d, "supplier").where("s_suppkey < 10").select(F.col("s_suppkey").alias("from_key"), (9 - F.col("s_suppkey")).alias("to_key"))
+    """From each supplier to the one as far from the other end of the keys."""
+    keys = _table(spark, d, "supplier").select(F.col("s_suppkey").alias("from_key"))
+    low, high = keys.agg(F.min("from_key"), F.max("from_key")).first()
+    pairs = keys.select("from_key", (F.lit((low or 0) + (high or 0)) - F.col("from_key")).alias("to_key"))
     found = graph.path(edges_of(spark, d), pairs, 4)
     return found.select("from_key", "to_key", F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path"))
 
 
 def related(spark, d):
     nodes = nodes_of(spark, d)
-    return graph.related(edges_of(spark, d), nodes, nodes.where(F.col("node_key") % 10 == 0).select("node_key"), 5).select("node_key", "dst_key", F.round("score", 6).alias("score"), "place")
+    return graph.related(edges_of(spark, d), nodes, nodes.select("node_key"), 5).select("node_key", "dst_key", F.round("score", 6).alias("score"), "place")
 
 
 def search_whole(spark, d):
-    """Lookup with hops, ranks and the default options. search_budget, its SQL's smaller job, makes no hop."""
+    """Lookup with hops, ranks and the default options over compacted nodes alone."""
     nodes, edges = nodes_of(spark, d), written(edges_of(spark, d), "edges")
     degree = written(rank.degrees(nodes, edges), "degree")
     permille = written(rank.permille(rank.pagerank(nodes, edges), degree), "permille")
@@ -224,19 +246,151 @@ def search_whole(spark, d):
     return hits.select("query_id", "place", "node_key", F.round("score", 6).alias("score"), "seed", "cost")
 
 
-def path_whole(spark, d):
-    """From each supplier to the one as far from the other end of the keys. path takes ten keys alone."""
-    keys = _table(spark, d, "supplier").select(F.col("s_suppkey").alias("from_key"))
-    ends = keys.agg((F.min("from_key") + F.max("from_key")).alias("ends"))
-    pairs = keys.crossJoin(F.broadcast(ends)).select("from_key", (F.col("ends") - F.col("from_key")).alias("to_key"))
-    found = graph.path(edges_of(spark, d), pairs, 4)
-    return found.select("from_key", "to_key", F.array_join(F.transform("path", lambda x: x.cast("string")), ",").alias("path"))
+def pagerank_joined(spark, d):
+    """The rounds as joins, whatever the size."""
+    return rank.pagerank(nodes_of(spark, d), edges_of(spark, d), local=0).select("node_key", F.round("rank", 9).alias("rank"))
+
+
+def percentiles(spark, d):
+    degree = written(degrees(spark, d), "degree")
+    return spark.createDataFrame([(share, rank.value_at(degree, share)) for share in (0, 50, 95, 99)], "share int, degree bigint")
+
+
+def postings_labels(spark, d):
+    return compact.postings(nodes_of(spark, d), segments_of(spark, d))
+
+
+def _cliques(spark, d) -> tuple[DataFrame, DataFrame]:
+    """Suppliers in groups of four keys, each group fully linked."""
+    nodes = nodes_of(spark, d).where(F.col("node_key") < PART)
+    ids = nodes.select("node_key", F.col("node_key").alias("node_id"), F.floor(F.col("node_key") / 4).alias("g"))
+    to = ids.select(F.col("node_key").alias("dst_key"), "g")
+    pair = ids.select(F.col("node_key").alias("src_key"), "g").join(to, "g").where("src_key <> dst_key")
+    return ids, pair.select("src_key", "dst_key", F.lit(S.LINK).alias("etype"), F.lit(False).alias("tier_enrich"), F.lit(False).alias("inferred"), F.lit(S.FULL_WEIGHT).alias("weight"))
+
+
+def _dense(ids: DataFrame) -> DataFrame:
+    return numbered(ids.select("node_key"), [F.col("node_key")], "node_id")
+
+
+def communities(spark, d):
+    ids, edges = _cliques(spark, d)
+    return rank.communities(_dense(ids), edges)
+
+
+def communities_joined(spark, d):
+    """Beyond the size of one array program: by connected component."""
+    ids, edges = _cliques(spark, d)
+    return rank.communities(_dense(ids), edges, local=0)
+
+
+def community_sizes(spark, d):
+    """Community summaries over the cliques: size, the first member's title, the first members by rank."""
+    ids, edges = _cliques(spark, d)
+    held = rank.communities(_dense(ids), edges).withColumn("node_id", F.col("node_key")).withColumn("permille", (F.col("node_key") % 7).cast("int"))
+    found = graph.community_summary(held, nodes_of(spark, d), 3)
+    return found.select("community", "size", "name", F.array_join(F.transform("members", lambda x: x.cast("string")), ",").alias("members"))
+
+
+def _committed(spark, d) -> DataFrame:
+    """Edges of which those to every third key are enrichment's."""
+    return edges_of(spark, d).withColumn("tier_enrich", F.col("dst_key") % 3 == 0)
+
+
+def _edge_rows(ops: DataFrame) -> DataFrame:
+    return ops.select("node_key", F.explode_outer("edges").alias("e")).select("node_key", "e.dst_key", "e.etype", "e.tier_enrich", "e.inferred", "e.weight")
+
+
+def set_edges_tiers(spark, d):
+    """A re-crawl of every fourth key; half of these pages have lost all links. The other tier's edges stay."""
+    keys = nodes_of(spark, d).where(F.col("node_key") % 4 == 0).select("node_key")
+    new = raw_edges(spark, d).where((F.col("src_key") % 8 == 0) & (F.col("pos") < 40))
+    return _edge_rows(mutate.set_edges(new, _committed(spark, d), keys=keys))
+
+
+def enrichment_edges(spark, d):
+    """Proposals of every fifth supplier to the part of its key and the next: sure ones become edges of their tier."""
+    keys = _table(spark, d, "supplier").where(F.col("s_suppkey") % 5 == 0).select(F.col("s_suppkey").alias("k"))
+    one = lambda n, weight, sure: F.struct((F.col("k") + PART + n).alias("dst_key"), F.lit(weight).alias("weight"), (F.lit(sure) + F.col("k") % 2 / 10).alias("confidence"))
+    rows = keys.select(F.col("k").alias("node_key"), F.array(F.struct(F.lit(0).alias("ordinal"), F.lit(7).alias("importance"))).alias("scores"), F.array(one(0, 1000, 0.75), one(1, 9, 0.45), one(2, 60000, 0.5)).alias("related"))
+    scored, edges = mutate.enrichment(rows, _committed(spark, d))
+    return _edge_rows(edges).join(scored.select("node_key", F.size("scores").alias("n_scores")), "node_key", "left")
+
+
+def surprises_merged(spark, d):
+    """As surprises, with every eleventh node removed by the log and another one's edges replaced by none."""
+    nodes, edges = nodes_of(spark, d), edges_of(spark, d)
+    gone, bare = nodes.where(F.col("node_key") % 11 == 0), nodes.where(F.col("node_key") % 11 == 5)
+    log = mutate.remove(gone).unionByName(mutate.set_edges(raw_edges(spark, d).limit(0), keys=bare))
+    state = written(fold.fold(_logged(log)), "state")
+    ranks = nodes.select("node_key", F.col("node_key").alias("node_id"), F.lit(0).alias("permille"), (F.col("node_key") % 10).alias("community"))
+    found = graph.surprises(fold.edges_view(edges, state), ranks, fold.nodes_view(nodes, state), 20)
+    return found.select("src_key", "dst_key", F.round("score", 6).alias("score"))
+
+
+def segments_merged(spark, d):
+    """Headings under a log: removed nodes, replaced sets, importance overrides by ordinal also over a replaced set."""
+    nodes, segs = nodes_of(spark, d).where(F.col("node_key") >= PART), segments_of(spark, d)
+    key = F.col("node_key")
+    new = nodes.where((key % 5 == 0) & (key % 11 != 0)).select("node_key", F.lit(0).alias("ordinal"), F.lit("new").alias("label"), F.lit(1).cast("long").alias("byte_start"), F.lit(2).cast("long").alias("byte_len"), F.lit(0).alias("depth"), F.lit(5).alias("importance"))
+    scores = nodes.where((key % 3 == 0) & (key % 11 != 0)).select("node_key", F.expr("array(struct(1 as ordinal, 777 as importance), struct(0 as ordinal, 888 as importance), struct(9 as ordinal, 1 as importance))").alias("scores"))
+    log = mutate.remove(nodes.where(key % 11 == 0)).unionByName(mutate.set_segments(new, check=False)).unionByName(mutate.set_importance(scores, check=False))
+    return fold.segments_view(segs, fold.fold(_logged(log)))
+
+
+def segments_carried(spark, d):
+    """New sets in reverse order: importance that a model gave stays with its heading."""
+    segs = segments_of(spark, d).withColumn("llm_scored", (F.col("node_key") + F.col("ordinal")) % 2 == 0)
+    new = segs.select("node_key", (1 - F.col("ordinal")).alias("ordinal"), "label", "byte_start", "byte_len", "depth", F.lit(9).alias("importance"))
+    ops = mutate.set_segments(new, segs, check=False)
+    return ops.select("node_key", F.posexplode("segs").alias("ordinal", "s")).select("node_key", "ordinal", "s.label", "s.depth", "s.importance", "s.llm_scored")
+
+
+def touch_ops(spark, d):
+    """Events as check results of the parts of their users' numbers: the full new state of each."""
+    e = _table(spark, d, "events")
+    rows = e.select((F.col("user_id") + PART).alias("node_key"), F.col("event_id").alias("pos"), (F.col("event_id") * 1000).alias("checked_at_ms"), (F.col("event_id") % 4).cast("int").alias("outcome"), F.when(F.col("event_id") % 3 == 0, F.col("event_id")).alias("content_hash"), F.when(F.col("event_id") % 5 == 0, F.lit("new")).alias("etag"))
+    ops = mutate.touch(rows, nodes_of(spark, d), check=False)
+    return ops.select("node_key", "pos", "touch.*")
+
+
+def pin_ops(spark, d):
+    """Pins of users' parts; of keys that are no nodes only the hundred upserted in the batch count."""
+    rows = _table(spark, d, "events").groupBy("user_id").agg((F.max("event_id") % 2 == 0).alias("pinned")).select((F.col("user_id") + PART).alias("node_key"), "pinned")
+    ops = mutate.set_pinned(rows, nodes_of(spark, d), rows.where(F.col("node_key") % 10 == 7))
+    return ops.select("node_key", "pin")
+
+
+def ingest_counts(spark, d):
+    """A crawl report over the pages: counters, with hashes that the graph knows for every second page."""
+    docs = html.documents(_table(spark, d, "pages"))
+    k = F.col("url_key")
+    export = docs.select("url_key", "url", (k * 7).alias("content_hash"), F.lit(1).cast("long").alias("fetched_at_ms"), "title", F.lit("").alias("snippet"), F.lit(None).cast("string").alias("etag"), F.lit(False).alias("pinned"), F.array(k + 1, k + 1, k).alias("edges"))
+    change = F.element_at(F.array(*map(F.lit, ("added", "updated", "unchanged", "removed", "skipped"))), (k % 5 + 1).cast("int"))
+    pages = docs.select("url_key", change.alias("change"), F.transform("headings", lambda h: F.struct(F.lit(1).alias("depth"), h.alias("text"))).alias("headings"), F.array(F.lit("the")).alias("keywords"))
+    known = docs.where(k % 2 == 0).select(
+        k.alias("node_key"), "url", "title", F.lit(None).cast("string").alias("snippet"), F.lit(None).cast("string").alias("etag"), (k * 7 + F.when(k % 3 == 0, 1).otherwise(0)).alias("content_hash"), F.lit(0).cast("long").alias("fetched_at_ms"),
+        F.lit(0).cast("long").alias("last_change_ms"), F.lit(900).cast("long").alias("interval_s"), F.lit(0).alias("checks"), F.lit(0).alias("changes"),
+    )
+    none = spark.createDataFrame([], S.EDGES), spark.createDataFrame([], S.SEGMENTS)
+    return ingest.report(pages, export, known, *none, NOW_MS)[1]
+
+
+def outcome_tags(spark, d):
+    """Outcomes by name, in any case; what is no outcome is an error."""
+    names = F.element_at(F.array(*map(F.lit, ("unchanged", "Changed", "ERROR", "gone"))), (F.col("event_id") % 4 + 1).cast("int"))
+    e = _table(spark, d, "events").select("event_id", F.when(F.col("event_id") % 9 == 0, F.col("event_type")).otherwise(names).alias("name"))
+    return e.select("event_id", ttl.outcome_tag(F.col("name")).alias("outcome"), text.label_fits(F.repeat("name", (F.col("event_id") % 700).cast("int"))).alias("fits"))
 
 
 def related_whole(spark, d):
-    """For every node; related takes every tenth key alone."""
-    nodes = nodes_of(spark, d)
-    return graph.related(edges_of(spark, d), nodes, nodes.select("node_key"), 5).select("node_key", "dst_key", F.round("score", 6).alias("score"), "place")
+    """As related."""
+    return related(spark, d)
+
+
+def path_whole(spark, d):
+    """As path."""
+    return path(spark, d)
 
 
 def neighbors(spark, d):
@@ -352,7 +506,7 @@ def best_anchor(spark, d):
     docs = html.documents(_table(spark, d, "pages"))
     segs = docs.select(F.col("url_key").alias("node_key"), F.posexplode("headings").alias("ordinal", "label"), F.lit(100).alias("importance"))
     of = lookup.query_terms(spark.createDataFrame([(1, "the of"), (2, "ench")], "query_id bigint, text string"))
-    hits = of.select("query_id").distinct().join(segs.select("node_key").distinct())
+    hits = segs.select("node_key").distinct().select("node_key", F.explode(F.array(F.lit(1), F.lit(2))).cast("long").alias("query_id"))
     return lookup.anchors(of, hits, segs)
 
 
@@ -366,6 +520,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         tokenize_df, lexical_search, seeds, edge_cap_dedupe, degrees, hub_threshold, stub_mint, stub_drop, pagerank, rank_permille, bfs_expand, search_budget, path, related, search_whole, path_whole, related_whole, neighbors,
         community_summary, surprises, compaction, ttl_fold, due, due_all, ops_fold, merge_view, live_count, crawl_seed, page_links, importance_prior, best_anchor, token_cost,
+        pagerank_joined, percentiles, postings_labels, communities, communities_joined, community_sizes, set_edges_tiers, enrichment_edges, surprises_merged, segments_merged, segments_carried, touch_ops, pin_ops, ingest_counts, outcome_tags,
     )
 }
 
@@ -417,6 +572,10 @@ _PAGES = r"""docs AS (
     list_transform(regexp_extract_all(html, '(?s)<h1[^>]*>(.*?)</h1>', 1), lambda x: trim(regexp_replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))) AS heads,
     regexp_extract_all(html, '<a [^>]*href="([^"#]+)"', 1) AS hrefs FROM pages)"""
 
+_SEGS = """segs AS (SELECT p_partkey + 1000000 AS node_key, 0 AS ordinal, p_type AS label, 100 AS importance FROM part UNION ALL SELECT p_partkey + 1000000, 1, p_brand, 200 FROM part)"""
+_LABELLED = POSTINGS_SQL.removesuffix("FROM nodes)") + f"FROM nodes UNION SELECT node_key, unnest({_WORDS.format('label')}) FROM segs)"
+_CLIQUE = "c AS (SELECT node_key, row_number() OVER (ORDER BY node_key) - 1 AS node_id FROM nodes WHERE node_key < 1000000)"
+
 SQL: dict[str, str] = {
     "tokenize_df": f"SELECT token, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest({_WORDS.format('text')}) AS token FROM documents) GROUP BY token",
     "lexical_search": f"""{_P} SELECT query_id, node_key, matched, round(score, 6) AS score FROM (
@@ -438,13 +597,31 @@ SQL: dict[str, str] = {
       state0 AS (SELECT query_id, node_key, score AS arrival, true AS seed FROM seeds), front0 AS (SELECT * FROM state0),
       {_HOP.format(k=1, j=0)}, {_HOP.format(k=2, j=1)}
       SELECT query_id, node_key, round(arrival, 6) AS arrival, seed FROM state2""",
-    "search_budget": f"""{_P}, {SEEDS_SQL}, top AS (SELECT query_id, max(score) AS top FROM seeds GROUP BY ALL),
-      hits AS (SELECT query_id, node_key, 0.8 * score / top AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_key) AS place
-        FROM seeds JOIN top USING (query_id) JOIN nodes USING (node_key) WHERE NOT is_tombstone),
-      shown AS (SELECT h.*, CAST((strlen(url) + strlen(coalesce(title, '')) + strlen(coalesce(snippet, '')) + 16 + 3) // 4 AS BIGINT) AS cost FROM hits h JOIN nodes USING (node_key) WHERE place <= 12)
-      SELECT query_id, place, node_key, round(score, 6) AS score, cost FROM (
-        SELECT *, sum(cost) OVER (PARTITION BY query_id ORDER BY place ROWS UNBOUNDED PRECEDING) AS spent FROM shown) WHERE spent <= 60""",
-    "path": f"""WITH {EDGES_SQL}, pairs2 AS (SELECT s_suppkey AS f, 9 - s_suppkey AS t FROM supplier WHERE s_suppkey < 10),
+    "search_budget": f"""{_RANKED}, {_SEGS}, {_LABELLED}, {FOUND_SQL}, {SEEDS_SQL}, hubs AS (SELECT node_key FROM degree WHERE degree >= {_CUT}),
+      gone AS (SELECT node_key FROM nodes WHERE node_key % 37 = 3), live_edges AS (SELECT * FROM edges WHERE src_key NOT IN (SELECT node_key FROM gone)),
+      ranked AS (SELECT node_key, CASE WHEN degree < 2 THEN 0 ELSE (place * 1000) // ((SELECT count(*) FROM nodes) - 1) END AS permille
+        FROM (SELECT node_key, row_number() OVER (ORDER BY round(rank, 12), node_key) - 1 AS place FROM steps WHERE k = 20) JOIN degree USING (node_key)),
+      state0 AS (SELECT query_id, node_key, score AS arrival, true AS seed FROM seeds), front0 AS (SELECT * FROM state0),
+      {", ".join(_HOP.format(k=k, j=k - 1).replace("JOIN edges e", "JOIN live_edges e") for k in (1, 2, 3))},
+      top AS (SELECT query_id, max(arrival) AS top FROM state3 GROUP BY ALL),
+      fused AS (SELECT query_id, a.node_key, 0.8::DOUBLE * arrival / top + 0.2::DOUBLE * permille / 1000 AS score, seed FROM state3 a JOIN top USING (query_id) JOIN nodes n ON n.node_key = a.node_key JOIN ranked r ON r.node_key = a.node_key
+        WHERE NOT is_tombstone AND a.node_key NOT IN (SELECT node_key FROM gone)),
+      fresh AS (SELECT c_custkey + 2000000 AS node_key, 'https://new.example.com/' || c_custkey AS url, 'red ' || c_mktsegment || ' small' AS title, NULL AS snippet FROM customer WHERE c_custkey % 50 = 0),
+      fwords AS (SELECT DISTINCT node_key, unnest(list_concat({_WORDS.format(_BARE)}, {_WORDS.format("title")})) AS token FROM fresh),
+      fbest AS (SELECT term, node_key, max(CASE WHEN token = term THEN 1000.0::DOUBLE WHEN starts_with(token, term) THEN 100.0 ELSE 1.0 END) * ln(1 + (SELECT count(*) FROM nodes)::DOUBLE) AS contribution
+        FROM (SELECT DISTINCT term FROM terms) JOIN fwords ON contains(token, term) GROUP BY ALL),
+      fscores AS (SELECT query_id, node_key, sum(contribution) * (count(*) / n_terms::DOUBLE) * (count(*) / n_terms::DOUBLE) AS score FROM terms JOIN fbest USING (term) GROUP BY query_id, node_key, n_terms),
+      ftop AS (SELECT query_id, max(score) AS top FROM fscores GROUP BY ALL),
+      hits AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY seed DESC, round(score, 9) DESC, node_key) AS place
+        FROM (SELECT * FROM fused UNION ALL SELECT query_id, node_key, 0.8::DOUBLE * score / top, true FROM fscores JOIN ftop USING (query_id))),
+      heads AS (SELECT query_id, h.node_key, ordinal, label, importance, unnest({_WORDS.format("label")}) AS word FROM hits h JOIN segs s ON s.node_key = h.node_key WHERE place <= 20),
+      counted AS (SELECT query_id, node_key, ordinal, label, importance, count(*) AS matches FROM heads h WHERE EXISTS (SELECT 1 FROM terms t WHERE t.query_id = h.query_id AND starts_with(word, t.term)) GROUP BY ALL),
+      anchored AS (SELECT query_id, node_key, label AS anchor FROM (SELECT *, row_number() OVER (PARTITION BY query_id, node_key ORDER BY matches DESC, importance DESC, ordinal) AS n FROM counted) WHERE n = 1),
+      shown AS (SELECT h.*, title, anchor, CAST((strlen(url) + strlen(coalesce(title, '')) + strlen(coalesce(snippet, '')) + CASE WHEN anchor IS NULL THEN 0 ELSE strlen(anchor) + 12 END + 19) // 4 AS BIGINT) AS cost
+        FROM hits h JOIN (SELECT node_key, url, title, snippet FROM nodes UNION ALL SELECT * FROM fresh) n ON n.node_key = h.node_key LEFT JOIN anchored a ON a.query_id = h.query_id AND a.node_key = h.node_key WHERE place <= 20)
+      SELECT query_id, place, node_key, title, anchor, round(score, 6) AS score, seed, cost FROM (
+        SELECT *, sum(cost) OVER (PARTITION BY query_id ORDER BY place ROWS UNBOUNDED PRECEDING) AS spent FROM shown) WHERE spent <= 2000""",
+    "path": f"""WITH {EDGES_SQL}, pairs2 AS (SELECT s_suppkey AS f, (SELECT min(s_suppkey) + max(s_suppkey) FROM supplier) - s_suppkey AS t FROM supplier),
       p0 AS (SELECT f, t, f AS node, [f] AS path FROM pairs2),
       p2 AS (SELECT f, t, b.dst_key AS node, min([f, a.dst_key, b.dst_key]) AS path FROM pairs2 JOIN edges a ON a.src_key = f JOIN edges b ON b.src_key = a.dst_key WHERE b.dst_key <> f GROUP BY ALL),
       p4 AS (SELECT f, t, min(list_concat(path, [a.dst_key, b.dst_key])) AS path FROM p2 JOIN edges a ON a.src_key = p2.node JOIN edges b ON b.src_key = a.dst_key AND b.dst_key = t GROUP BY ALL),
@@ -452,9 +629,48 @@ SQL: dict[str, str] = {
         SELECT f, t, path FROM p0 WHERE node = t UNION ALL SELECT f, t, path FROM p2 WHERE node = t AND f <> t
         UNION ALL SELECT f, t, path FROM p4 WHERE f <> t AND (f, t) NOT IN (SELECT (f, t) FROM p2 WHERE node = t))
       SELECT f AS from_key, t AS to_key, array_to_string(path, ',') AS path FROM best""",
-    "related": f"""{_G}, s AS (SELECT src_key AS node_key, dst_key, {_STRONG.format(w="weight")} + CASE WHEN etype = 0 THEN 0.25 ELSE 0 END AS score FROM edges WHERE src_key % 10 = 0),
+    "related": f"""{_G}, s AS (SELECT src_key AS node_key, dst_key, {_STRONG.format(w="weight")} + CASE WHEN etype = 0 THEN 0.25 ELSE 0 END AS score FROM edges WHERE src_key IN (SELECT node_key FROM nodes)),
       r AS (SELECT s.*, row_number() OVER (PARTITION BY s.node_key ORDER BY score DESC, dst_key) AS place FROM s JOIN nodes n ON n.node_key = dst_key WHERE NOT is_tombstone)
       SELECT node_key, dst_key, round(score, 6) AS score, place FROM r WHERE place <= 5""",
+    "pagerank_joined": f"{_RANKED} SELECT node_key, round(rank, 9) AS rank FROM steps WHERE k = 20",
+    "percentiles": f"""{_G}, d AS (SELECT list_sort(list(degree)) AS l, count(*) AS n FROM degree) SELECT CAST(share AS INTEGER) AS share, l[CAST(least(n * share // 100, n - 1) AS BIGINT) + 1] AS degree FROM d, (VALUES (0), (50), (95), (99)) v(share)""",
+    "postings_labels": f"WITH {NODES_SQL}, {_SEGS}, {_LABELLED} SELECT token, node_key FROM postings",
+    "communities": f"WITH {NODES_SQL}, {_CLIQUE} SELECT node_key, min(node_id) OVER w AS community, min(node_key) OVER w AS community_key FROM c WINDOW w AS (PARTITION BY node_key // 4)",
+    "communities_joined": f"WITH {NODES_SQL}, {_CLIQUE} SELECT node_key, min(node_id) OVER w AS community, min(node_key) OVER w AS community_key FROM c WINDOW w AS (PARTITION BY node_key // 4)",
+    "community_sizes": f"""WITH {NODES_SQL}, {_CLIQUE}, m AS (SELECT c.*, title, min(node_id) OVER (PARTITION BY c.node_key // 4) AS community, row_number() OVER (PARTITION BY c.node_key // 4 ORDER BY c.node_key % 7 DESC, c.node_key) AS place FROM c JOIN nodes n ON n.node_key = c.node_key)
+      SELECT community, count(*) AS size, min(title) FILTER (place = 1) AS name, string_agg(node_key, ',' ORDER BY place) FILTER (place <= 3) AS members FROM m GROUP BY community""",
+    "set_edges_tiers": f"""{_G}, keys AS (SELECT node_key FROM nodes WHERE node_key % 4 = 0),
+      new AS (SELECT src_key, dst_key, etype, false AS tier_enrich, etype = 2 AS inferred, weight, 0 AS turn, pos AS place FROM raw WHERE src_key % 8 = 0 AND pos < 40),
+      kept AS (SELECT src_key, dst_key, etype, true, inferred, weight, 1, dst_key FROM edges e WHERE dst_key % 3 = 0 AND (src_key % 8 = 0 OR src_key IN (SELECT node_key FROM keys)) AND NOT EXISTS (SELECT 1 FROM new n WHERE n.src_key = e.src_key AND n.dst_key = e.dst_key)),
+      both_ AS (SELECT *, row_number() OVER (PARTITION BY src_key ORDER BY turn, place) AS n FROM (SELECT * FROM new UNION ALL SELECT * FROM kept))
+      SELECT node_key, dst_key, etype, tier_enrich, inferred, weight FROM keys LEFT JOIN (SELECT * FROM both_ WHERE n <= 64) ON src_key = node_key""",
+    "enrichment_edges": f"""{_G}, s AS (SELECT s_suppkey AS k FROM supplier WHERE s_suppkey % 5 = 0),
+      new AS (SELECT k AS src_key, k + 1000000 + n AS dst_key, 2 AS etype, true AS tier_enrich, true AS inferred, CAST(greatest(1, floor(w * (c + (k % 2) / 10.0::DOUBLE))) AS INTEGER) AS weight, 0 AS turn, n AS place
+        FROM s, (VALUES (0, 1000, 0.75::DOUBLE), (1, 9, 0.45::DOUBLE), (2, 60000, 0.5::DOUBLE)) v(n, w, c) WHERE c + (k % 2) / 10.0::DOUBLE >= 0.5),
+      kept AS (SELECT src_key, dst_key, etype, false, inferred, weight, 1, dst_key FROM edges e WHERE dst_key % 3 <> 0 AND src_key IN (SELECT k FROM s) AND NOT EXISTS (SELECT 1 FROM new n WHERE n.src_key = e.src_key AND n.dst_key = e.dst_key)),
+      both_ AS (SELECT *, row_number() OVER (PARTITION BY src_key ORDER BY turn, place) AS n FROM (SELECT * FROM new UNION ALL SELECT * FROM kept))
+      SELECT src_key AS node_key, dst_key, etype, tier_enrich, inferred, weight, 1 AS n_scores FROM both_ WHERE n <= 64""",
+    "surprises_merged": f"""{_G}, c AS (SELECT src_key, dst_key, src_key % 10 AS a, dst_key % 10 AS b, {_STRONG.format(w="weight")} AS score FROM edges JOIN nodes n ON n.node_key = src_key JOIN nodes m ON m.node_key = dst_key WHERE src_key % 10 <> dst_key % 10 AND src_key % 11 NOT IN (0, 5)),
+      r AS (SELECT *, row_number() OVER (PARTITION BY least(a, b), greatest(a, b) ORDER BY src_key, dst_key) AS n FROM c),
+      best AS (SELECT src_key, dst_key, score FROM r WHERE n = 1 ORDER BY score DESC, src_key, dst_key LIMIT 20)
+      SELECT src_key, dst_key, round(score, 6) AS score FROM best WHERE dst_key % 11 <> 0""",
+    "segments_merged": f"""WITH {_SEGS}, all_ AS (
+        SELECT node_key, ordinal, label, NULL::BIGINT AS byte_start, NULL::BIGINT AS byte_len, 1 AS depth, importance FROM segs WHERE node_key % 11 <> 0 AND node_key % 5 <> 0
+        UNION ALL SELECT p_partkey + 1000000, 0, 'new', 1, 2, 1, 5 FROM part WHERE (p_partkey + 1000000) % 5 = 0 AND (p_partkey + 1000000) % 11 <> 0)
+      SELECT node_key, CAST(ordinal AS INTEGER) AS ordinal, label, byte_start, byte_len, CAST(depth AS INTEGER) AS depth, CAST(CASE WHEN node_key % 3 = 0 THEN CASE ordinal WHEN 1 THEN 777 ELSE 888 END ELSE importance END AS INTEGER) AS importance, node_key % 3 = 0 AS llm_scored FROM all_""",
+    "segments_carried": f"""WITH {_SEGS}, c AS (SELECT node_key, label, min_by(importance, ordinal) AS given FROM segs WHERE (node_key + ordinal) % 2 = 0 GROUP BY ALL)
+      SELECT node_key, CAST(1 - ordinal AS INTEGER) AS ordinal, label, 1 AS depth, CAST(coalesce(given, 9) AS INTEGER) AS importance, given IS NOT NULL AS llm_scored FROM segs LEFT JOIN c USING (node_key, label)""",
+    "touch_ops": f"""WITH {NODES_SQL}, t AS (SELECT n.*, event_id AS e, event_id % 4 AS o FROM events JOIN nodes n ON n.node_key = user_id + 1000000)
+      SELECT node_key, e AS pos, e * 1000 AS fetched_at_ms, CAST(CASE o WHEN 0 THEN greatest(900, least(2592000, (interval_s * 3) // 2)) WHEN 1 THEN greatest(900, least(2592000, interval_s // 4)) WHEN 2 THEN 900 ELSE interval_s END AS BIGINT) AS interval_s,
+        checks + 1 AS checks, CAST(changes + (o = 1)::INTEGER AS INTEGER) AS changes, CAST(CASE WHEN o = 1 THEN e * 1000 ELSE last_change_ms END AS BIGINT) AS last_change_ms, CASE WHEN e % 3 = 0 THEN e ELSE content_hash END AS content_hash,
+        CASE WHEN e % 5 = 0 THEN 'new' ELSE etag END AS etag, o = 3 AS tombstone FROM t""",
+    "pin_ops": f"""WITH {NODES_SQL}, u AS (SELECT user_id + 1000000 AS node_key, max(event_id) % 2 = 0 AS pin FROM events GROUP BY user_id)
+      SELECT node_key, pin FROM u WHERE node_key IN (SELECT node_key FROM nodes) OR node_key % 10 = 7""",
+    "ingest_counts": f"""WITH {_PAGES}, m AS (SELECT * FROM docs WHERE url_key % 5 IN (0, 1))
+      SELECT (SELECT count(*) FROM m) AS upserted, (SELECT CAST(coalesce(sum(len(heads)), 0) AS BIGINT) FROM m) AS segments, (SELECT count(*) * 3 FROM m) AS edges,
+        (SELECT count(*) FROM docs WHERE url_key % 2 = 0 AND (url_key % 5 = 1 OR (url_key % 5 = 0 AND url_key % 3 = 0) OR url_key % 5 = 2)) AS touched, (SELECT count(*) FROM docs WHERE url_key % 2 = 0 AND url_key % 5 = 3) AS tombstoned""",
+    "outcome_tags": """WITH e AS (SELECT event_id, CASE WHEN event_id % 9 = 0 THEN event_type ELSE ['unchanged', 'Changed', 'ERROR', 'gone'][CAST(event_id % 4 AS BIGINT) + 1] END AS name FROM events)
+      SELECT event_id, CAST(CASE lower(name) WHEN 'unchanged' THEN 0 WHEN 'changed' THEN 1 WHEN 'gone' THEN 3 ELSE 2 END AS INTEGER) AS outcome, strlen(name) * (event_id % 700) <= 2048 AS fits FROM e""",
     "neighbors": f"{_G} SELECT src_key, dst_key, url AS dst_url, etype, weight FROM edges LEFT JOIN nodes ON node_key = dst_key WHERE src_key = 7",
     "surprises": f"""{_G}, c AS (SELECT src_key, dst_key, src_key % 10 AS a, dst_key % 10 AS b, {_STRONG.format(w="weight")} AS score FROM edges JOIN nodes n ON n.node_key = src_key JOIN nodes m ON m.node_key = dst_key WHERE src_key % 10 <> dst_key % 10),
       r AS (SELECT *, row_number() OVER (PARTITION BY least(a, b), greatest(a, b) ORDER BY src_key, dst_key) AS n FROM c)
@@ -495,3 +711,4 @@ SQL: dict[str, str] = {
       SELECT query_id, node_key, label AS anchor FROM (SELECT *, row_number() OVER (PARTITION BY query_id, node_key ORDER BY matches DESC, ordinal) AS n FROM m) WHERE n = 1""",
     "token_cost": f"""WITH {NODES_SQL} SELECT node_key, CAST((strlen(url) + strlen(coalesce(title, '')) + strlen(coalesce(snippet, '')) + CASE WHEN etag IS NULL THEN 0 ELSE strlen(etag) + 12 END + 19) // 4 AS BIGINT) AS cost FROM nodes""",
 }
+SQL |= {"related_whole": SQL["related"], "path_whole": SQL["path"]}
