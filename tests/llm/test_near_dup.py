@@ -51,7 +51,7 @@ def classes_of(spark, rows):
 def test_a_template_makes_no_cluster_and_hides_no_twin(spark, shared, own):
     """Texts of which a half or a third are one template (estimates of 0.5 and 0.33): clusters are the twins alone."""
     rows = templated(3000, 60, shared, own)
-    clusters, _ = near_dup.candidate_clusters(classes_of(spark, rows), near_dup.passing(85, 100))
+    clusters, _ = near_dup.candidate_clusters(classes_of(spark, rows), 85, 100)
     of = {r["node"]: r["component"] for r in clusters.collect()}
     by_size = {}
     for k, c in of.items():
@@ -65,6 +65,10 @@ def test_a_template_makes_no_cluster_and_hides_no_twin(spark, shared, own):
     assert len(linked) == 60 and all(100 * len(sets[k] & sets[c]) >= 85 * len(sets[k] | sets[c]) for k, c in linked)
 
 
+def test_trees_follow_the_similarity():
+    assert (near_dup.trees_in_crowds(85, 100), near_dup.trees_in_crowds(80, 100), near_dup.trees_in_crowds(100, 100)) == (23, 40, 10)
+
+
 def test_dense_regions_are_compared_whole():
     """More equal keys than a region holds: pairs far from the majority and from each other in order are still met."""
     dice = np.random.RandomState(5)
@@ -90,7 +94,7 @@ def test_dense_regions_cut_by_borders_meet_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_dup, "_DENSE_BLOCK", 16)
     dice = np.random.RandomState(6)
     pools = dice.randint(0, 65536, (200, near_dup.POOL)).astype(np.uint16)
-    pools[:, near_dup._ORDERS[0]] = 7
+    pools[:, near_dup.order_of(0)] = 7
     pools[170] = pools[20]
     rows = spark.createDataFrame([(k, p.tobytes()) for k, p in enumerate(pools)], "node long, pool binary").withColumn("cluster", F.col("node"))
     before = spark.conf.get("spark.sql.shuffle.partitions")

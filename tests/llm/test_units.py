@@ -184,7 +184,7 @@ def test_forest_finds_similar_sets():
     low = (sigs & 255).astype(np.uint8)
     linked = set()
     for t in range(near_dup.TREES):
-        keys = sigs[:, near_dup._ORDERS[t]]
+        keys = sigs[:, near_dup.order_of(t)]
         order = np.lexsort(keys.T[::-1])
         to, _, _, _ = near_dup.candidates(np.full(len(order), t), keys[order], low[order], np.arange(len(order)), near_dup.passing(85, 100))
         linked |= {tuple(sorted((int(order[k]), int(order[j])))) for k, j in enumerate(to) if j != k}

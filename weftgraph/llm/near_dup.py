@@ -15,8 +15,8 @@
    ``WIDE`` standard errors below the similarity asked for, so texts that merely share a
    template don't pass. What passes is joined into candidate clusters.
 4. Nodes of a region that had to split stand in a crowd, where a deeper prefix is needed
-   and so more trees: they run through ``MORE`` further trees, where nodes that are in one
-   cluster already are not compared again.
+   and so more trees: they run through as many further trees as the similarity asks for
+   (``trees_in_crowds``), where nodes that are in one cluster already are not compared again.
 5. Verification, on full sets: a cluster meets in groups of about ``BLOCK`` texts, each
    with the text that most others were joined to, and each text is shuffled once. Where that leaves
    a large cluster in several parts, the texts outside its largest part meet all of its
@@ -25,8 +25,8 @@
 6. Components of the links give the smallest id that can be reached.
 
 Two texts at 0.85 share two minhashes in front of one of ten trees with probability
-1 - (1 - 0.85^2)^10, above 0.999997, and eight of one of forty with 1 - (1 - 0.85^8)^40, as
-much; at 0.8 these are 0.99996 and 0.9993.
+1 - (1 - 0.85^2)^10, above 0.999997, at 0.8 above 0.99996; in a crowd they share as many as
+it needs, eight at most, in front of one of its trees with 1 - ``MISS`` at least.
 
 Defined cases: a text without words, empty or null, has no shingles and links with
 nothing; fewer words than a shingle are one shingle. A null id links with nothing and
@@ -50,7 +50,9 @@ from pyspark.sql import functions as F
 
 from .common import components, stored
 
-POOL, TREES, MORE, DEPTH, SHALLOW, REGION, NEXT, BLOCK = 192, 10, 30, 8, 2, 256, 4, 120
+POOL, TREES, DEPTH, SHALLOW, REGION, NEXT, BLOCK = 192, 10, 8, 2, 256, 4, 120
+#: Chance of missing a pair at the threshold in a crowd that needs the full depth.
+MISS = 0.0007
 #: Standard errors below the similarity asked for at which an estimate still passes.
 WIDE = 4.5
 _BUFFER, _DENSE_BLOCK = 40_000, 2048
@@ -78,8 +80,17 @@ def shingles(text: bytes, size: int) -> np.ndarray:
 _DICE = np.random.RandomState(20)
 _TIMES = _DICE.randint(0, 2**32, size=(POOL, 1), dtype=np.uint32) | np.uint32(1)
 _PLUS = _DICE.randint(0, 2**32, size=(POOL, 1), dtype=np.uint32)
-#: The minhashes of each tree, in order: those of the first trees don't overlap.
-_ORDERS = np.concatenate([_DICE.permutation(POOL)[: TREES * DEPTH].reshape(TREES, DEPTH), [_DICE.permutation(POOL)[:DEPTH] for _ in range(MORE)]])
+_FIRST = _DICE.permutation(POOL)[: TREES * DEPTH].reshape(TREES, DEPTH)
+
+
+def order_of(tree: int) -> np.ndarray:
+    """The minhashes of a tree, in order: those of the first trees don't overlap."""
+    return _FIRST[tree] if tree < TREES else np.random.RandomState(1000 + tree).permutation(POOL)[:DEPTH]
+
+
+def trees_in_crowds(over: int, under: int) -> int:
+    """How many trees it takes that a pair at the threshold shares the full depth in one of them, but for MISS."""
+    return max(TREES, math.ceil(math.log(MISS) / math.log(1 - (over / under) ** DEPTH))) if over < under else TREES
 
 
 def signature(held: np.ndarray) -> np.ndarray:
@@ -133,7 +144,7 @@ def _planted(first: int, n: int):
                 pool = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint16).reshape(-1, POOL)
                 signs = fixed((pool & 255).astype(np.uint8))
                 for tree in range(first, first + n):
-                    key = fixed(pool[:, _ORDERS[tree]].astype(">u2"))
+                    key = fixed(pool[:, order_of(tree)].astype(">u2"))
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(pool), tree, np.int32)), key, batch.column(0), batch.column(2), signs], names=["tree", "key", "node", "cluster", "signs"])
 
     return plant
@@ -227,7 +238,7 @@ def candidates(tree: np.ndarray, keys: np.ndarray, signs: np.ndarray, group: np.
     return _joined(np.concatenate(p), np.concatenate(q), n), crowd, number, wide
 
 
-def _forest(agree: int, most: int):
+def _forest(agree: int, most: int, crowds: bool = True):
     """Sorted rows of _ROW to rows of _NEAR: links that join clusters, crowded nodes, and what has to meet again.
 
     The ranges next to a partition may hold more of its first and its last region: of these
@@ -250,7 +261,8 @@ def _forest(agree: int, most: int):
         at = np.arange(n)
         linked = np.flatnonzero((group == at) & (to != at))  # a link for each cluster that is joined to another
         yield out(LINK, nodes[linked], nodes[to[linked]])
-        yield out(CROWD, np.unique(nodes[crowd]))
+        if crowds:
+            yield out(CROWD, np.unique(nodes[crowd]))
         border = (start & (wide == wide[0]) & (at < 2 * most)) | (stop & (wide == wide[-1]) & (at >= n - 2 * most))
         dense = np.zeros(n, dtype=bool)
         for one in (run[0], run[-1]):
@@ -296,16 +308,16 @@ def _paired(rows: DataFrame, key: list[str], node: str, block: int) -> DataFrame
     return rows.withColumns({"low": F.least("own", "other"), "high": F.greatest("own", "other")}).drop("blocks", "own", "other")
 
 
-def forest_links(classes: DataFrame, first: int, n: int, agree: int) -> tuple[DataFrame, DataFrame]:
-    """Candidate links (a, b) of n trees over (node, pool, cluster) between clusters, and the crowded nodes."""
+def forest_links(classes: DataFrame, first: int, n: int, agree: int, crowds: bool = True) -> tuple[DataFrame, DataFrame]:
+    """Candidate links (a, b) of n trees over (node, pool, cluster) between clusters, and, if asked for, the crowded nodes."""
     parts = int(classes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = classes.select("node", "pool", "cluster").mapInArrow(_planted(first, n), _ROW)
     rows = rows.repartitionByRange(parts, "tree", "key", "node").sortWithinPartitions("tree", "key", "node")
-    near = stored(rows.mapInArrow(_forest(agree, REGION), _NEAR), "near")
+    near = stored(rows.mapInArrow(_forest(agree, REGION, crowds), _NEAR), "near")
     # regions that a border of ranges cuts: the rows at all borders meet by region
     again = near.where(F.col("kind").isin(BORDER, DENSE)).select("kind", "tree", "key", F.col("a").alias("node"), "cluster", "signs")
     cut = again.where(F.col("kind") == BORDER).drop("kind").repartition(parts, "tree", F.substring("key", 1, 2 * SHALLOW))
-    across = stored(cut.sortWithinPartitions("tree", "key", "node").mapInArrow(_forest(agree, REGION), _NEAR), "across")
+    across = stored(cut.sortWithinPartitions("tree", "key", "node").mapInArrow(_forest(agree, REGION, crowds), _NEAR), "across")
     dense = again.join(again.where(F.col("kind") == DENSE).select("tree", "key").distinct(), ["tree", "key"], "left_semi")
     dense = _paired(dense, ["tree", "key"], "node", _DENSE_BLOCK)
     dense = stored(dense.groupBy("tree", "key", "low", "high").applyInPandas(_blocks(agree), "a long, b long"), "dense")
@@ -393,14 +405,15 @@ def confirmed(texts: DataFrame, clusters: DataFrame, links: DataFrame, verify) -
     return stored(components(first.unionByName(second)), "found")
 
 
-def candidate_clusters(classes: DataFrame, agree: int) -> tuple[DataFrame, DataFrame]:
+def candidate_clusters(classes: DataFrame, over: int, under: int) -> tuple[DataFrame, DataFrame]:
     """(node, component) of the candidate clusters over (node, pool), and the links behind them."""
+    agree, more = passing(over, under), trees_in_crowds(over, under) - TREES
     links, crowd = forest_links(classes.withColumn("cluster", F.col("node")), 0, TREES, agree)
     clusters, crowd = stored(components(links), "clusters"), stored(crowd, "crowd")
-    if crowd.isEmpty():
+    if not more or crowd.isEmpty():
         return clusters, links
     known = classes.join(crowd, "node", "left_semi").join(clusters, "node", "left")
-    links = links.unionByName(forest_links(known.withColumn("cluster", F.coalesce("component", "node")), TREES, MORE, agree)[0])
+    links = links.unionByName(forest_links(known.withColumn("cluster", F.coalesce("component", "node")), TREES, more, agree, False)[0])
     return stored(components(links), "clusters"), links
 
 
@@ -418,7 +431,7 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle:
     classes = real.groupBy("digest").agg(F.min("doc_id").alias("id"), F.first("pool").alias("pool"))
     classes = stored(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
 
-    clusters, links = candidate_clusters(classes, passing(over, under))
+    clusters, links = candidate_clusters(classes, over, under)
     wanted = stored(clusters.select("node").join(classes.select("node", "id", "digest"), "node"), "wanted")
     some = _perhaps(base, wanted)  # so that texts without any candidate aren't shuffled
     texts = some.join(wanted, "id").select("node", "digest", "text")
