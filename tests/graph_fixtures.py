@@ -27,12 +27,12 @@ def site(spark, store):
     """Three pages, two of them with headings, that link to each other and to one unknown page."""
     docs = doc(
         spark,
-        (1, "https://docs.x.dev/guide", 11, "Guide", "The install guide for the widget toolchain"),
-        (2, "https://docs.x.dev/api", 12, "API reference", "Functions and types exposed by the widget api"),
-        (3, "https://docs.x.dev/faq", 13, "FAQ", "Common questions about widgets"),
+        (1, "https://manual.loom.test/start", 11, "First steps", "How to setup a loom and its shuttle"),
+        (2, "https://manual.loom.test/calls", 12, "Calls", "What each pedal of the loom does"),
+        (3, "https://manual.loom.test/doubts", 13, "Doubts", "What weavers often ask"),
     )
     segs = spark.createDataFrame(
-        [(1, 0, "Install > Linux", 0, 100, 1, 60000), (1, 1, "Install > Windows", 0, 100, 2, 40000), (2, 0, "Auth", 0, 100, 1, 50000), (2, 1, "Endpoints", 0, 100, 1, 55000)], SEG
+        [(1, 0, "Setup > Upright frame", 0, 100, 1, 52000), (1, 1, "Setup > Table frame", 0, 100, 2, 31000), (2, 0, "Pedals", 0, 100, 1, 44000), (2, 1, "Heddles", 0, 100, 1, 47000)], SEG
     )
     links = edges(spark, (1, 2, 0, 65535), (1, 3, 0, 65535), (2, 1, 0, 65535), (3, 1, 0, 65535), (3, 99, 0, 65535))
     store.writer().upsert_nodes(docs).set_segments(segs).set_edges(links).commit()
