@@ -26,7 +26,8 @@
 
 Two texts at 0.85 share two minhashes in front of one of ten trees with probability
 1 - (1 - 0.85^2)^10, above 0.999997, at 0.8 above 0.99996; in a crowd they share as many as
-it needs, eight at most, in front of one of its trees with 1 - ``MISS`` at least.
+it needs, eight at most, in front of one of its trees with 1 - ``MISS`` at least, and at
+0.85 with 0.999997.
 
 Defined cases: a text without words, empty or null, has no shingles and links with
 nothing; fewer words than a shingle are one shingle. A null id links with nothing and
@@ -51,8 +52,8 @@ from pyspark.sql import functions as F
 from .common import components, stored
 
 POOL, TREES, DEPTH, SHALLOW, REGION, NEXT, BLOCK = 192, 10, 8, 2, 256, 4, 120
-#: Chance of missing a pair at the threshold in a crowd that needs the full depth.
-MISS = 0.0007
+#: Trees in a crowd at least, and the chance of missing a pair at the threshold there at the full depth.
+CROWD_TREES, MISS = 40, 0.0007
 #: Standard errors below the similarity asked for at which an estimate still passes.
 WIDE = 4.5
 _BUFFER, _DENSE_BLOCK = 40_000, 2048
@@ -90,7 +91,7 @@ def order_of(tree: int) -> np.ndarray:
 
 def trees_in_crowds(over: int, under: int) -> int:
     """How many trees it takes that a pair at the threshold shares the full depth in one of them, but for MISS."""
-    return max(TREES, math.ceil(math.log(MISS) / math.log(1 - (over / under) ** DEPTH))) if over < under else TREES
+    return max(CROWD_TREES, math.ceil(math.log(MISS) / math.log(1 - (over / under) ** DEPTH))) if over < under else TREES
 
 
 def signature(held: np.ndarray) -> np.ndarray:
