@@ -50,10 +50,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     while key in docs.columns:
         key += "_"
     rows = stored(docs.withColumn(key, F.monotonically_increasing_id()), "keyed")
-    found = near_dup.groups(rows, doc_id=key, also=("doc_id",))
-    least = F.min(F.struct(F.isnull("doc_id").alias("last"), F.col("doc_id").alias("doc_id"), F.col("doc_id_row").alias("row")))
-    first = stored(found.toDF("doc_id_row", "doc_id", "n", "group", "kept").groupBy("group").agg(least.alias("first")).select("first.row"), "first")
-    return rows.join(first, rows[key] == first["row"], "left_semi").drop(key)
+    found = near_dup.groups(rows, doc_id=key, also=("doc_id",)).toDF("id", "doc_id", "n", "group", "kept")
+    found = stored(found.select("id", "doc_id", "group"), "found")
+    least = F.min(F.struct(F.isnull("doc_id").alias("last"), "doc_id", "id"))
+    first = found.groupBy("group").agg(least.alias("first")).select("first.id")
+    gone = stored(found.join(first, "id", "left_anti").select("id"), "gone")
+    # only rows that may go are shuffled
+    perhaps = near_dup.marked(rows.select(F.col(key).alias("id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")), gone)
+    stay = perhaps.where("marked").join(gone, "id", "left_anti").select("row")
+    return perhaps.where("not marked").select("row").union(stay).select("row.*")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

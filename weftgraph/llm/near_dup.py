@@ -367,13 +367,17 @@ def _verified(size: int, over: int, under: int):
     return verify
 
 
-def _perhaps(base: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows whose id may be among ids: by a bitmap of 2^26 bits, 16 MB at most, however many there are."""
-    spot = F.pmod(F.xxhash64("id"), F.lit(1 << 26))
-    marks = ids.select(F.shiftright(spot, 6).alias("word"), F.expr("1L << cast(pmod(xxhash64(id), 64) as int)").alias("bit"))
+def marked(base: DataFrame, ids: DataFrame, own: str = "id") -> DataFrame:
+    """base with a column `marked`: whether the row's id may be among ids, and false only if it isn't.
+
+    By a bitmap of 2^26 bits, 16 MB at most, however many ids there are; no row of base is shuffled.
+    """
+    spot = F.pmod(F.xxhash64(own), F.lit(1 << 26))
+    marks = ids.select(F.shiftright(spot, 6).alias("word"), F.expr(f"1L << cast(pmod(xxhash64({own}), 64) as int)").alias("bit"))
     marks = stored(marks.groupBy("word").agg(F.bit_or("bit").alias("bits")), "marks")
-    held = base.select("*", F.shiftright(spot, 6).alias("word")).join(F.broadcast(marks), "word")
-    return held.where(F.expr("(bits >> cast(pmod(xxhash64(id), 64) as int)) & 1L = 1L")).select(*base.columns)
+    held = base.select("*", F.shiftright(spot, 6).alias("word")).join(F.broadcast(marks), "word", "left")
+    found = F.expr(f"coalesce((bits >> cast(pmod(xxhash64({own}), 64) as int)) & 1L = 1L, false)")
+    return held.select(*base.columns, found.alias("marked"))
 
 
 def confirmed(texts: DataFrame, clusters: DataFrame, links: DataFrame, verify) -> DataFrame:
@@ -434,8 +438,8 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle:
 
     clusters, links = candidate_clusters(classes, over, under)
     wanted = stored(clusters.select("node").join(classes.select("node", "id", "digest"), "node"), "wanted")
-    some = _perhaps(base, wanted)  # so that texts without any candidate aren't shuffled
-    texts = some.join(wanted, "id").select("node", "digest", "text")
+    some = marked(base, wanted).where("marked")  # so that texts without any candidate aren't shuffled
+    texts = some.drop("marked").join(wanted, "id").select("node", "digest", "text")
     found = confirmed(texts, clusters, links, _verified(shingle, over, under))
 
     reach = classes.select("digest", "node", "id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
