@@ -40,7 +40,7 @@ rows. Other columns are not looked at.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -380,8 +380,8 @@ def marked(base: DataFrame, ids: DataFrame, own: str = "id") -> DataFrame:
     return held.select(*base.columns, found.alias("marked"))
 
 
-def confirmed(texts: DataFrame, clusters: DataFrame, links: DataFrame, verify) -> DataFrame:
-    """(node, component) over the links that full sets confirm. texts: node, digest, text; clusters: node, component."""
+def confirmed(texts: Callable[[DataFrame], DataFrame], clusters: DataFrame, links: DataFrame, verify) -> DataFrame:
+    """(node, component) over the links that full sets confirm. texts adds digest and text to rows with a node; clusters: node, component."""
     blocks = clusters.groupBy("component").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     placed = clusters.join(blocks, "component").withColumn("part", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     placed = stored(placed.select("node", "component", "blocks", "part"), "placed")
@@ -392,7 +392,7 @@ def confirmed(texts: DataFrame, clusters: DataFrame, links: DataFrame, verify) -
     hubs = hubs.select("node", "component", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"))
 
     def met(rows: DataFrame, key: list[str], label: str) -> DataFrame:
-        return stored(texts.join(rows, "node").select(*key, "node", "digest", "text").groupBy(*key).applyInPandas(verify, "a long, b long"), label)
+        return stored(texts(rows).select(*key, "node", "digest", "text").groupBy(*key).applyInPandas(verify, "a long, b long"), label)
 
     first = met(placed.select("node", "component", "part").unionByName(hubs.select("node", "component", "part")), ["component", "part"], "links")
     found = stored(components(first), "found")
@@ -438,8 +438,11 @@ def groups(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle:
 
     clusters, links = candidate_clusters(classes, over, under)
     wanted = stored(clusters.select("node").join(classes.select("node", "id", "digest"), "node"), "wanted")
-    some = marked(base, wanted).where("marked")  # so that texts without any candidate aren't shuffled
-    texts = some.drop("marked").join(wanted, "id").select("node", "digest", "text")
+
+    def texts(rows: DataFrame) -> DataFrame:
+        asked = stored(rows.join(wanted, "node"), "asked")
+        return marked(base, asked).where("marked").select("id", "text").join(asked, "id")  # texts that nothing asks for aren't shuffled
+
     found = confirmed(texts, clusters, links, _verified(shingle, over, under))
 
     reach = classes.select("digest", "node", "id").join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
