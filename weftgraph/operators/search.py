@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -73,9 +73,14 @@ def contributions(of: DataFrame, postings: DataFrame, n_nodes: int) -> DataFrame
     return of.join(scored, "term").select("query_id", "n_terms", "term", "node_key", "contribution")
 
 
+def _steady_sum(of: Column) -> Column:
+    """The sum in ascending order: equal parts give equal sums, whatever order they come in. One value per term, so never many."""
+    return F.aggregate(F.array_sort(F.collect_list(of)), F.lit(0.0), lambda held, x: held + x)
+
+
 def lexical(found: DataFrame) -> DataFrame:
     """query_id, node_key, matched, score: contributions times the squared share of matched terms."""
-    summed = found.groupBy("query_id", "node_key", "n_terms").agg(F.sum("contribution").alias("tiered"), F.count("*").alias("matched"))
+    summed = found.groupBy("query_id", "node_key", "n_terms").agg(_steady_sum(F.col("contribution")).alias("tiered"), F.count("*").alias("matched"))
     share = F.col("matched") / F.col("n_terms")
     return summed.select("query_id", "node_key", "matched", (F.col("tiered") * share * share).alias("score"))
 
