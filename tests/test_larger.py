@@ -1,6 +1,9 @@
 """What only shows on larger tables: ties, long searches, large components, rounds."""
 
-from weftgraph.operators import search
+import itertools
+import random
+
+from weftgraph.operators import graph, search
 
 
 def test_equal_contributions_tie_whatever_their_order(spark):
@@ -11,3 +14,46 @@ def test_equal_contributions_tie_whatever_their_order(spark):
     assert scores[7] == scores[8]
     firsts = found.where("node_key = 0")  # no term's best: the score decides
     assert [r["node_key"] for r in search.seeds(firsts, search.lexical(found), 1).collect()] == [7]
+
+
+STEP = "src_key bigint, dst_key bigint"
+
+
+def _paths(spark, steps, pairs, depth):
+    got = graph.path(spark.createDataFrame(steps, STEP), spark.createDataFrame(pairs, "from_key bigint, to_key bigint"), depth).collect()
+    assert len({(r["from_key"], r["to_key"]) for r in got}) == len(got)
+    return {(r["from_key"], r["to_key"]): r["path"] for r in got}
+
+
+def test_paths_follow_each_end_half_way(spark, monkeypatch):
+    """A tree of ten branches a level: four levels from the root are 11,110 nodes, two from each end 112."""
+    steps = [(n, 10 * n + k) for n in range(1, 1200) for k in range(10)]
+    rows, keep = [], graph.written
+
+    def counted(df, label):
+        out = keep(df, label)
+        rows.append(out.count())
+        return out
+
+    monkeypatch.setattr(graph, "written", counted)
+    assert _paths(spark, steps, [(1, 10037)], 4) == {(1, 10037): [1, 10, 100, 1003, 10037]}
+    assert sum(rows) < 1000
+
+
+def test_paths_are_shortest_with_smallest_keys(spark):
+    dice = random.Random(3)
+    keys = [k - 12 for k in range(24)]  # negative keys come last, as unsigned ones
+    steps = sorted({(dice.choice(keys), dice.choice(keys)) for _ in range(45)})
+    pairs = list(itertools.product(keys[::2], keys[1::3])) + [(5, 5), (5, 5), (1, 999)]
+    high = lambda path: [k % (1 << 64) for k in path]
+    want = {}
+    for start, end in pairs:
+        front = [[start]]
+        for _ in range(7):
+            hits = [p for p in front if p[-1] == end]
+            if hits:
+                want[start, end] = min(hits, key=high)
+                break
+            front = [[*p, to] for p in front for src, to in steps if src == p[-1] and to not in p]
+    assert {len(p) for p in want.values()} >= {1, 2, 3, 4, 5, 6}
+    assert _paths(spark, steps, pairs, 6) == want

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,22 +37,51 @@ def _few(df: DataFrame, most: int = 100_000) -> bool:
 def path(edges: DataFrame, pairs: DataFrame, max_depth: int) -> DataFrame:
     """pairs: from_key, to_key. Returns from_key, to_key, path: of the shortest paths the one with the smallest keys.
 
-    One level of breadth-first search per round for all pairs; a node keeps the smallest
-    path that reached it first.
+    For all pairs at once, from both ends: links ahead of the start meet links behind the end,
+    so that no end is followed further than half the depth. Each node keeps the smallest keys
+    between the end and itself. A pair that has its path is followed no further.
     """
-    order = lambda p: F.transform(p, unsigned)
-    seen = written(pairs.select("from_key", "to_key", F.col("from_key").alias("node"), F.array("from_key").alias("path")), "paths")
-    front = seen.where("node <> to_key")
-    for _ in range(max_depth):
-        done = seen.where("node = to_key").select("from_key", "to_key")
-        step = front.join(done, ["from_key", "to_key"], "left_anti").join(edges.select(F.col("src_key").alias("node"), "dst_key"), "node")
-        step = step.select("from_key", "to_key", F.col("dst_key").alias("node"), F.concat("path", F.array("dst_key")).alias("path"))
-        step = step.groupBy("from_key", "to_key", "node").agg(F.min_by("path", order(F.col("path"))).alias("path"))
-        front = written(step.join(seen.select("from_key", "to_key", "node"), ["from_key", "to_key", "node"], "left_anti"), "front")
-        if front.isEmpty():
+    steps = edges.select("src_key", "dst_key")
+    pairs = written(pairs.select("from_key", "to_key").distinct(), "pairs")
+    found = [pairs.where("from_key = to_key").select("from_key", "to_key", F.array("from_key").alias("path"))]
+    left = pairs.where("from_key <> to_key")
+    ahead, behind = (left.select(F.col(c).alias("end"), F.col(c).alias("node")).distinct() for c in ("from_key", "to_key"))
+    out = back = 0  # links followed from the start, and from the end
+    for depth in range(1, max_depth + 1):
+        if depth % 2:
+            ahead, out = written(_followed(ahead, left.select(F.col("from_key").alias("end")), steps, out, False), "ahead"), out + 1
+        else:
+            behind, back = written(_followed(behind, left.select(F.col("to_key").alias("end")), steps, back, True), "behind"), back + 1
+        if (ahead if depth % 2 else behind).isEmpty():
+            break
+        first, last = [f"a{k}" for k in range(1, out)], [f"b{k}" for k in range(1, back)]
+        met = left.join(ahead.select(F.col("end").alias("from_key"), "node", *[F.col(f"k{c[1:]}").alias(c) for c in first]), "from_key")
+        met = met.join(behind.select(F.col("end").alias("to_key"), "node", *[F.col(f"k{c[1:]}").alias(c) for c in last]), ["to_key", "node"])
+        between = [*first, *(["node"] if back else []), *last]
+        if between:
+            met = met.groupBy("from_key", "to_key").agg(F.min(F.struct(*[unsigned(F.col(c)).alias(c) for c in between])).alias("m"))
+        else:
+            met = met.distinct()
+        here = written(met.select("from_key", "to_key", F.array("from_key", *[unsigned(F.col(f"m.{c}")) for c in between], "to_key").alias("path")), "met")
+        found.append(here)
+        left = written(left.join(here, ["from_key", "to_key"], "left_anti"), "left")
+        if left.isEmpty():
             break
-        seen = seen.unionByName(front.select(*seen.columns))
-    return seen.where("node = to_key").select("from_key", "to_key", "path")
+    return reduce(DataFrame.unionByName, found)
+
+
+def _followed(front: DataFrame, ends: DataFrame, steps: DataFrame, depth: int, back: bool) -> DataFrame:
+    """front (end, node and the depth - 1 keys between them, in the order of links) one link further, for ends still asked for."""
+    near, far = ("dst_key", "src_key") if back else ("src_key", "dst_key")
+    keys = [f"k{n}" for n in range(1, depth)]
+    front = front.join(ends.distinct(), "end", "left_semi")
+    if not depth:
+        return front.join(steps, F.col("node") == F.col(near)).select("end", F.col(far).alias("node"))
+    own = ["node", *keys] if back else [*keys, "node"]
+    held = [unsigned(F.col(c)).alias(f"k{n}") for n, c in enumerate(own, 1)]
+    moved = front.join(steps, F.col("node") == F.col(near)).select("end", F.col(far).alias("to"), *held)
+    best = moved.groupBy("end", "to").agg(F.min("k1" if depth == 1 else F.struct(*[f"k{n}" for n in range(1, depth + 1)])).alias("m"))  # a single key is aggregated by hash
+    return best.select("end", F.col("to").alias("node"), *[unsigned(F.col("m" if depth == 1 else f"m.k{n}")).alias(f"k{n}") for n in range(1, depth + 1)])
 
 
 def community_summary(ranks: DataFrame, nodes: DataFrame, top: int) -> DataFrame:
