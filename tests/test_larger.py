@@ -3,7 +3,7 @@
 import itertools
 import random
 
-from weftgraph.operators import graph, search
+from weftgraph.operators import graph, rank, search
 
 
 def test_equal_contributions_tie_whatever_their_order(spark):
@@ -57,3 +57,38 @@ def test_paths_are_shortest_with_smallest_keys(spark):
             front = [[*p, to] for p in front for src, to in steps if src == p[-1] and to not in p]
     assert {len(p) for p in want.values()} >= {1, 2, 3, 4, 5, 6}
     assert _paths(spark, steps, pairs, 6) == want
+
+
+def _community_graph(spark, n, links):
+    ids = spark.createDataFrame([(100 + k, k) for k in range(n)], "node_key bigint, node_id bigint")
+    edge = "src_key bigint, dst_key bigint, etype int, tier_enrich boolean, inferred boolean, weight int"
+    return ids, spark.createDataFrame([(100 + a, 100 + b, 0, False, i, w) for a, b, i, w in links], edge)
+
+
+def _communities(found):
+    return sorted((r["node_key"], r["community"], r["community_key"]) for r in found.collect())
+
+
+def test_large_components_are_swept_without_a_task_for_each(spark, monkeypatch):
+    dice = random.Random(5)
+    links = sorted({(dice.randrange(0, 10), dice.randrange(10, 60), dice.random() < 0.3, dice.randrange(0, 5)) for _ in range(150)})
+    graph_ = _community_graph(spark, 62, links)
+    want = _communities(rank.communities(*graph_))
+
+    def refused(group):
+        raise MemoryError("a whole component in one task")
+
+    monkeypatch.setattr(rank, "_sweeps", refused)
+    assert _communities(rank.communities(*graph_, local=0)) == want and len({c for _, c, _ in want}) < 62
+
+
+def test_deep_graphs_mix_tasks_and_levels(spark):
+    """Chains, rings and crowds whose ids rise along many links; hubs are muted in the first sweeps."""
+    dice, links = random.Random(9), []
+    for low, size, times in ((0, 40, 160), (40, 9, 14), (49, 12, 11), (61, 30, 60)):
+        links += [(low + k, low + k + 1, False, 300) for k in range(size - 1)]
+        links += [(low + a, low + b, dice.random() < 0.4, dice.randrange(0, 400)) for a, b in (dice.sample(range(size), 2) for _ in range(times))]
+    graph_ = _community_graph(spark, 95, links)
+    want = _communities(rank.communities(*graph_))
+    assert _communities(rank.communities(*graph_, local=0, depth=1, fits=60)) == want
+    assert 5 < len({c for _, c, _ in want}) < 90

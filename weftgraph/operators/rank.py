@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import strength
 from ..sources.schema import LINK
 from ..sources.tables import freed, numbered, unsigned, written
 
@@ -116,18 +118,21 @@ def _sweeps(group: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(rows)
 
 
-def communities(ids: DataFrame, edges: DataFrame, local: int = LOCAL_LINKS) -> DataFrame:
+def communities(ids: DataFrame, edges: DataFrame, local: int = LOCAL_LINKS, depth: int = 16, fits: int = LOCAL_LINKS) -> DataFrame:
     """ids: node_key, node_id. Returns node_key, community (smallest member's id), community_key.
 
-    Up to LOCAL_LINKS edges are swept as one graph on the driver. Beyond that:
-    sweeps are sequential in id order by definition. Components don't influence each
-    other but through the common hub cut and the common last sweep, so each runs by itself
-    and reports every sweep; the first sweep in which nothing changed anywhere is the last.
-    The largest component must fit in one task: by definition a node's label depends on those
-    that nodes before it got in the same sweep, so a component has no order but the one of ids.
+    Sweeps are sequential in id order by definition: a node's label depends on those that
+    nodes before it got in the same sweep. Up to LOCAL_LINKS edges are swept as one graph on
+    the driver. Beyond that by levels: nodes to which the longest chain of links that rises in
+    ids has the same length are independent of each other. Links stay in a table of one row a
+    node; the driver and every worker hold one label, level and flag a node (9 bytes), and no
+    link. A graph of more than `depth` levels has its components of up to `fits` edges swept in
+    a task each, and all others by levels; the first sweep in which nothing changed anywhere is
+    the last for all.
     """
     pair = edges.join(ids.select(F.col("node_key").alias("src_key"), F.col("node_id").alias("u")), "src_key").join(ids.select(F.col("node_key").alias("dst_key"), F.col("node_id").alias("v")), "dst_key")
-    pair = written(pair.select("u", "v", strength(F.col("weight"), F.col("inferred")).alias("w")), "pairs")
+    exact = F.greatest("weight", F.lit(1)).cast("long") * F.when(F.col("inferred"), 6).otherwise(10)  # strength in whole numbers, whose sums have no order
+    pair = written(pair.select("u", "v", exact.alias("w")), "pairs")
     n = ids.count()
     if n <= local and pair.count() <= local:
         held = pair.toPandas()
@@ -149,17 +154,142 @@ def communities(ids: DataFrame, edges: DataFrame, local: int = LOCAL_LINKS) -> D
     degree = ids.select(F.col("node_id").alias("node_key")).join(pair.select(F.explode(F.array("u", "v")).alias("node_key")).groupBy("node_key").count(), "node_key", "left")
     degree = written(degree.select("node_key", F.coalesce("count", F.lit(0)).alias("degree")), "degree")
     cut = max(8, value_at(degree, 95) or 0)
-    hub = degree.select("node_key", (F.col("degree") >= cut).alias("hub"))
-    part = connected(pair.select(F.col("u").alias("a"), F.col("v").alias("b")))
-    rows = pair.join(part.select(F.col("node").alias("u"), "component"), "u")
-    rows = rows.join(hub.select(F.col("node_key").alias("u"), F.col("hub").alias("u_hub")), "u").join(hub.select(F.col("node_key").alias("v"), F.col("hub").alias("v_hub")), "v")
-    swept = written(rows.select("component", "u", "v", "w", "u_hub", "v_hub").groupBy("component").applyInPandas(lambda g: _sweeps(g), "id bigint, sweep int, label bigint, changed boolean"), "sweeps")
-    moving = {r["sweep"]: r["any"] for r in swept.groupBy("sweep").agg(F.max("changed").alias("any")).collect()}
-    last = next((k for k in range(SWEEPS) if not moving.get(k)), SWEEPS - 1)
-    label = swept.where(F.col("sweep") == last).select(F.col("id").alias("node_id"), "label")
-    named = ids.join(label, "node_id", "left").withColumn("label", F.coalesce("label", "node_id"))
-    low = named.groupBy("label").agg(F.min(F.struct("node_id", "node_key")).alias("m"))
-    return named.join(low, "label").select("node_key", F.col("m.node_id").alias("community"), F.col("m.node_key").alias("community_key"))
+    muted = np.zeros(n, dtype=bool)
+    muted[degree.where(F.col("degree") >= cut).select("node_key").toArrow()["node_key"].to_numpy()] = True
+    near = _near(pair, n)
+    level, deep = _levels(near, n, depth)
+    moving: dict[int, bool] = {}
+    swept = None
+    if deep:  # chains of links in the order of ids: components that fit in a task are swept there, the others by levels, however many
+        part = connected(pair.select(F.col("u").alias("a"), F.col("v").alias("b")))
+        rows = pair.join(part.select(F.col("node").alias("u"), "component"), "u")
+        large = rows.groupBy("component").count().where(F.col("count") > fits).select("component")
+        hub = degree.select("node_key", (F.col("degree") >= cut).alias("hub"))
+        own = rows.join(large, "component", "left_anti")
+        own = own.join(hub.select(F.col("node_key").alias("u"), F.col("hub").alias("u_hub")), "u").join(hub.select(F.col("node_key").alias("v"), F.col("hub").alias("v_hub")), "v")
+        swept = written(own.select("component", "u", "v", "w", "u_hub", "v_hub").groupBy("component").applyInPandas(lambda g: _sweeps(g), "id bigint, sweep int, label bigint, changed boolean"), "sweeps")
+        moving = {r["sweep"]: r["any"] for r in swept.groupBy("sweep").agg(F.max("changed").alias("any")).collect()}
+        near = _near(rows.join(large, "component", "left_semi"), n)
+        level, _ = _levels(near, n, n)
+    label, last = _swept_by_levels(near, level, muted, moving)
+    if swept is not None:
+        held = swept.where(F.col("sweep") == last).select("id", "label").toArrow()
+        label[held["id"].to_numpy()] = held["label"].to_numpy()
+    low = np.full(n, n, dtype=label.dtype)
+    np.minimum.at(low, label, np.arange(n, dtype=label.dtype))
+    sent = ids.sparkSession.sparkContext.broadcast(low[label])
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch["node_key"], pa.array(sent.value[batch["node_id"].to_numpy()], pa.int64())], names=["node_key", "community"])
+
+    found = written(ids.select("node_key", "node_id").mapInArrow(named, "node_key bigint, community bigint"), "communities")
+    sent.destroy()
+    top = ids.select(F.col("node_id").alias("community"), F.col("node_key").alias("community_key"))
+    return found.join(top, "community").select("node_key", "community", "community_key")
+
+
+def _near(pair: DataFrame, n: int) -> DataFrame:
+    """u, near: each node's links in both directions, in one row. No row is longer than the links of one node."""
+    kind = "int" if n < 1 << 31 else "bigint"
+    both = pair.select("u", "v", "w").unionByName(pair.select(F.col("v").alias("u"), F.col("u").alias("v"), "w"))
+    return written(both.groupBy("u").agg(F.collect_list(F.struct(F.col("v").cast(kind).alias("v"), F.col("w").cast("int").alias("w"))).alias("near")), "near")
+
+
+def _links(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """u, and (row of u, v, w) of each link, for runs of rows with about so many links."""
+    lists = batch["near"]
+    at, u = lists.offsets.to_numpy(), batch["u"].to_numpy()
+    v, w = (lists.values.field(c).to_numpy() for c in ("v", "w"))
+    low = 0
+    while low < len(u):
+        high = max(low + 1, int(np.searchsorted(at, at[low] + most, "right")) - 1)
+        part = slice(at[low], at[high])
+        yield u[low:high], np.repeat(np.arange(high - low), np.diff(at[low : high + 1])), v[part], w[part]
+        low = high
+
+
+def _round(near: DataFrame, vectors: list[np.ndarray], step: Callable, into: np.ndarray) -> int:
+    """Puts what `step` finds new into the vector: (u, row, v, w, *vectors) gives the nodes that change, and their values. One job."""
+    spark = near.sparkSession
+    sent = spark.sparkContext.broadcast(vectors)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in _links(batch):
+                ids, values = step(*part, *sent.value)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(values, pa.int64())], names=["id", "value"])
+
+    got = near.select("u", "near").mapInArrow(run, "id bigint, value bigint").toArrow()
+    sent.destroy()
+    into[got["id"].to_numpy()] = got["value"].to_numpy()
+    return got.num_rows
+
+
+def _higher(u, row, v, w, level):
+    """Nodes whose level is not yet one above the highest of their smaller neighbours."""
+    best = np.zeros(len(u), dtype=level.dtype)
+    np.maximum.at(best, row, np.where(v < u[row], level[v] + 1, 0))
+    moved = best != level[u]
+    return u[moved], best[moved]
+
+
+def _levels(near: DataFrame, n: int, most: int) -> tuple[np.ndarray, bool]:
+    """Each node's level: the length of the longest chain of links that rises in ids up to it; and whether it is not known after `most` rounds."""
+    level = np.zeros(n, dtype=np.int32 if n < 1 << 31 else np.int64)
+    for _ in range(most + 1):
+        if not _round(near, [level], _higher, level):
+            return level, False
+    return level, True
+
+
+def _voted(u, row, v, w, label, muted):
+    """Nodes whose neighbours' labels give them another one: the most votes, then the smallest label."""
+    if muted is not None:
+        heard = ~muted[v]
+        row, v, w = row[heard], v[heard], w[heard]
+    if not len(row):
+        return u[:0], u[:0]
+    key = row.astype(np.int64) * len(label) + label[v]
+    order = np.argsort(key, kind="stable")
+    key = key[order]
+    first = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    votes = np.add.reduceat(w[order].astype(np.int64), first)
+    at, own = np.divmod(key[first], len(label))
+    order = np.lexsort((own, -votes, at))
+    at, own = at[order], own[order]
+    first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+    ids, own = u[at[first]], own[first]
+    moved = own != label[ids]
+    return ids[moved], own[moved]
+
+
+def _swept_by_levels(near: DataFrame, level: np.ndarray, muted: np.ndarray, moving: dict[int, bool]) -> tuple[np.ndarray, int]:
+    """Every node's label after the last sweep, and that sweep's number. moving: sweeps in which other components change.
+
+    Nodes of a level have no links among each other, and all smaller neighbours in lower
+    levels: one level after the other gives what going through all nodes by id gives.
+    """
+    sent = near.sparkSession.sparkContext.broadcast(level)
+
+    def levelled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch["u"], batch["near"], pa.array(sent.value[batch["u"].to_numpy()], pa.int64())], names=["u", "near", "level"])
+
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in near.schema)
+    parts = int(near.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    held = written(near.mapInArrow(levelled, f"{kinds}, level bigint").repartitionByRange(parts, "level", "u").sortWithinPartitions("level"), "levels")
+    sent.destroy()
+    freed(near)
+    label = np.arange(len(level), dtype=level.dtype)
+    top = int(level.max(initial=0))
+    for sweep in range(SWEEPS):
+        heard = [label, muted if sweep < MUTED else None]
+        moved = sum([_round(held.where(F.col("level") == k), heard, _voted, label) for k in range(top + 1)])
+        if not moved and not moving.get(sweep):
+            break
+    freed(held)
+    return label, sweep
 
 
 def connected(edges: DataFrame) -> DataFrame:
