@@ -3,6 +3,8 @@
 import itertools
 import random
 
+import pytest
+
 from weftgraph.operators import graph, rank, search
 
 
@@ -92,3 +94,20 @@ def test_deep_graphs_mix_tasks_and_levels(spark):
     want = _communities(rank.communities(*graph_))
     assert _communities(rank.communities(*graph_, local=0, depth=1, fits=60)) == want
     assert 5 < len({c for _, c, _ in want}) < 90
+
+
+def test_pagerank_rounds_write_no_table_each(spark, monkeypatch):
+    """All forms agree, with links to and from keys that are no nodes, negative keys and nodes without links."""
+    dice = random.Random(2)
+    keys = [k - 20 for k in range(60)]
+    nodes = spark.createDataFrame([(k,) for k in keys], "node_key bigint")
+    steps = sorted({(dice.choice(keys), dice.choice(keys)) for _ in range(200)})
+    links = lambda steps: spark.createDataFrame([(a, b, 0) for a, b in steps] + [(1, 2, 2)], "src_key bigint, dst_key bigint, etype int")
+    ranks = lambda steps, **how: {r["node_key"]: pytest.approx(r["rank"], rel=1e-9) for r in rank.pagerank(nodes, links(steps), **how).collect()}
+    joined, more = ranks(steps, local=0, held=0), [*steps, (3, 999), (999, 4)]
+    wide = ranks(more, local=0, held=0)
+    tables, keep = [], rank.written
+    monkeypatch.setattr(rank, "written", lambda df, label: tables.append(label) or keep(df, label))
+    assert {k: v.expected for k, v in ranks(steps, local=0).items()} == joined and len(tables) < 5
+    assert {k: v.expected for k, v in ranks(more, local=0).items()} == wide
+    assert {k: v.expected for k, v in ranks(steps).items()} == joined

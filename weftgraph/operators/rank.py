@@ -16,6 +16,8 @@ from ..sources.tables import freed, numbered, unsigned, written
 DAMPING, ROUNDS, SWEEPS, MUTED = 0.85, 20, 10, 3
 #: Up to so many links and nodes PageRank and communities run as one array program on the driver (16 bytes each).
 LOCAL_LINKS = 200_000
+#: Up to so many nodes PageRank keeps one number a node on the driver and in each worker, and the links in a table; beyond, its rounds are joins.
+HELD_NODES = 50_000_000
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -51,8 +53,11 @@ def _lost(rank: DataFrame) -> float:
     return rank.where("out is null").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, local: int = LOCAL_LINKS) -> DataFrame:
-    """node_key, rank after 20 rounds over links alone, dangling mass spread evenly."""
+def pagerank(nodes: DataFrame, edges: DataFrame, local: int = LOCAL_LINKS, held: int = HELD_NODES) -> DataFrame:
+    """node_key, rank after 20 rounds over links alone, dangling mass spread evenly.
+
+    Up to `local` links and nodes on the driver, up to `held` nodes with links in a table, else as joins.
+    """
     links = edges.where(F.col("etype") == LINK).select("src_key", "dst_key")
     ids = nodes.select("node_key")
     spark = nodes.sparkSession
@@ -69,6 +74,8 @@ def pagerank(nodes: DataFrame, edges: DataFrame, local: int = LOCAL_LINKS) -> Da
             share = np.divide(rank, out, out=np.zeros(n), where=out > 0)
             rank = (1 - DAMPING) / n + DAMPING * (np.bincount(dst, share[src], n) + rank[out == 0].sum() / n)
         return spark.createDataFrame(pd.DataFrame({"node_key": keys.view(np.int64), "rank": rank}))
+    if n <= held:
+        return _ranked(ids, links, n)
     out = links.groupBy(F.col("src_key").alias("node_key")).agg(F.count("*").alias("out"))
     links = written(links.join(out, F.col("src_key") == F.col("node_key")).select("src_key", "dst_key", "out"), "links")
     rank = written(ids.join(out, "node_key", "left").select("node_key", "out", F.lit(1 / n).alias("rank")), "rank")
@@ -83,6 +90,49 @@ def pagerank(nodes: DataFrame, edges: DataFrame, local: int = LOCAL_LINKS) -> Da
     return rank.select("node_key", "rank")
 
 
+def _places(keys: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """The place of each asked key among the sorted keys, -1 for one that isn't there."""
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return np.where(keys[at] == asked, at, -1)
+
+
+def _given(u, row, v, share):
+    return u, np.bincount(row, share[v], len(u))
+
+
+def _ranked(ids: DataFrame, links: DataFrame, n: int) -> DataFrame:
+    """PageRank's rounds over one table of each node's incoming links, written once; only ranks travel."""
+    keys = np.sort(ids.toArrow()["node_key"].to_numpy().view(np.uint64))
+    sent = ids.sparkSession.sparkContext.broadcast(keys)
+
+    def dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(_places(sent.value, batch[c].to_numpy().view(np.uint64)), pa.int64()) for c in ("src_key", "dst_key")], names=["src", "dst"])
+
+    pairs = written(links.mapInArrow(dense, "src bigint, dst bigint").where("src >= 0"), "links")
+    counts = pairs.groupBy("src").count().toArrow()
+    out = np.zeros(n, dtype=np.int64)
+    out[counts["src"].to_numpy()] = counts["count"].to_numpy()
+    near = written(pairs.where("dst >= 0").groupBy(F.col("dst").alias("u")).agg(F.collect_list(F.col("src").cast("int" if n < 1 << 31 else "bigint")).alias("near")), "near")
+    freed(pairs)
+    rank = np.full(n, 1 / n)
+    for _ in range(ROUNDS):
+        share, got = np.divide(rank, out, out=np.zeros(n), where=out > 0), np.zeros(n)
+        _round(near, [share], _given, got)
+        rank = (1 - DAMPING) / n + DAMPING * (got + rank[out == 0].sum() / n)
+    freed(near)
+    last = ids.sparkSession.sparkContext.broadcast(rank)
+
+    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch["node_key"], pa.array(last.value[_places(sent.value, batch["node_key"].to_numpy().view(np.uint64))])], names=["node_key", "rank"])
+
+    found = written(ids.mapInArrow(named, "node_key bigint, rank double"), "rank")
+    sent.destroy()
+    last.destroy()
+    return found
+
+
 def permille(rank: DataFrame, degree: DataFrame) -> DataFrame:
     """node_key, permille: the place by rank in thousandths; 0 below two edges."""
     n = rank.count()
@@ -196,31 +246,31 @@ def _near(pair: DataFrame, n: int) -> DataFrame:
     return written(both.groupBy("u").agg(F.collect_list(F.struct(F.col("v").cast(kind).alias("v"), F.col("w").cast("int").alias("w"))).alias("near")), "near")
 
 
-def _links(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """u, and (row of u, v, w) of each link, for runs of rows with about so many links."""
+def _links(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[tuple[np.ndarray, ...]]:
+    """u, and (row of u, v, w; or v alone) of each link, for runs of rows with about so many links."""
     lists = batch["near"]
     at, u = lists.offsets.to_numpy(), batch["u"].to_numpy()
-    v, w = (lists.values.field(c).to_numpy() for c in ("v", "w"))
+    fields = [lists.values.field(c).to_numpy() for c in ("v", "w")] if pa.types.is_struct(lists.type.value_type) else [lists.values.to_numpy()]
     low = 0
     while low < len(u):
         high = max(low + 1, int(np.searchsorted(at, at[low] + most, "right")) - 1)
         part = slice(at[low], at[high])
-        yield u[low:high], np.repeat(np.arange(high - low), np.diff(at[low : high + 1])), v[part], w[part]
+        yield u[low:high], np.repeat(np.arange(high - low), np.diff(at[low : high + 1])), *[x[part] for x in fields]
         low = high
 
 
 def _round(near: DataFrame, vectors: list[np.ndarray], step: Callable, into: np.ndarray) -> int:
-    """Puts what `step` finds new into the vector: (u, row, v, w, *vectors) gives the nodes that change, and their values. One job."""
-    spark = near.sparkSession
-    sent = spark.sparkContext.broadcast(vectors)
+    """Puts what `step` finds into the vector: (u, row, v, w, *vectors) gives the nodes that change, and their values. One job."""
+    sent = near.sparkSession.sparkContext.broadcast(vectors)
+    kind, name = (pa.float64(), "double") if into.dtype.kind == "f" else (pa.int64(), "bigint")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in _links(batch):
                 ids, values = step(*part, *sent.value)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(values, pa.int64())], names=["id", "value"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(values, kind)], names=["id", "value"])
 
-    got = near.select("u", "near").mapInArrow(run, "id bigint, value bigint").toArrow()
+    got = near.select("u", "near").mapInArrow(run, f"id bigint, value {name}").toArrow()
     sent.destroy()
     into[got["id"].to_numpy()] = got["value"].to_numpy()
     return got.num_rows
