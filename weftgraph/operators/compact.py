@@ -29,9 +29,9 @@ def with_stubs(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def postings(nodes: DataFrame, segments: DataFrame) -> DataFrame:
     """token, node_key of every token in a node's url (without scheme), title, snippet and segment labels."""
-    own = nodes.select("node_key", F.explode(F.array_distinct(F.flatten(F.array(tokens(searchable_url(F.col("url"))), tokens(F.col("title")), tokens(F.col("snippet")))))).alias("token"))
-    labels = segments.select("node_key", F.explode(F.array_distinct(tokens(F.col("label")))).alias("token"))
-    return own.unionByName(labels).distinct().select("token", "node_key")
+    own = nodes.select("node_key", F.concat_ws(" ", searchable_url(F.col("url")), "title", "snippet").alias("text"))
+    texts = own.unionByName(segments.select("node_key", F.col("label").alias("text"))).repartition("node_key")  # texts move, as a file's words may not fit in its task
+    return texts.select("node_key", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token")).distinct().select("token", "node_key")
 
 
 def lexicon(of: DataFrame) -> DataFrame:
