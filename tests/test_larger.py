@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from weftgraph.operators import graph, rank, search
+from weftgraph.operators import compact, graph, rank, search
 
 
 def test_equal_contributions_tie_whatever_their_order(spark):
@@ -111,3 +111,24 @@ def test_pagerank_rounds_write_no_table_each(spark, monkeypatch):
     assert {k: v.expected for k, v in ranks(steps, local=0).items()} == joined and len(tables) < 5
     assert {k: v.expected for k, v in ranks(more, local=0).items()} == wide
     assert {k: v.expected for k, v in ranks(steps).items()} == joined
+
+
+def test_postings_hold_no_words_before_the_shuffle(spark):
+    nodes = spark.createDataFrame([(1, "https://a.b/c", "One two", None), (2, "x", None, "two ÄÖ one")], "node_key bigint, url string, title string, snippet string")
+    segments = spark.createDataFrame([(1, "two three"), (2, None)], "node_key bigint, label string")
+    found = compact.postings(nodes, segments)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan[plan.rindex("Exchange") :] and plan.count("Exchange") == 1
+    assert sorted(map(tuple, found.collect())) == sorted([(w, 1) for w in ("a", "b", "c", "one", "two", "three")] + [(w, 2) for w in ("x", "two", "äö", "one")])
+
+
+def test_hops_meet_nodes_after_their_links(spark, monkeypatch):
+    """What a hop reaches is looked up among the nodes, not every link's target."""
+    start = spark.createDataFrame([(1, 5, 1.0)], "query_id bigint, node_key bigint, score double")
+    links = spark.createDataFrame([(5, 6, 65535, False), (5, 99, 65535, False), (6, 7, 65535, True)], "src_key bigint, dst_key bigint, weight int, inferred boolean")
+    nodes = spark.createDataFrame([(k,) for k in (5, 6, 7)], "node_key bigint")
+    plans, keep = [], search.written
+    monkeypatch.setattr(search, "written", lambda df, label: plans.append(df._jdf.queryExecution().optimizedPlan().toString()) or keep(df, label))
+    got = {r["node_key"]: round(r["arrival"], 6) for r in search.expand(start, links, nodes, nodes.limit(0), 2).collect()}
+    assert got == {5: 1.0, 6: 0.5, 7: 0.15}
+    assert len(plans) == 3 and all("Aggregate" in p[p.index("LeftSemi") :] for p in plans[1:])

@@ -97,13 +97,13 @@ def seeds(found: DataFrame, scores: DataFrame, most: int) -> DataFrame:
 
 def expand(start: DataFrame, edges: DataFrame, base_nodes: DataFrame, hubs: DataFrame, depth: int) -> DataFrame:
     """query_id, node_key, arrival, seed after `depth` hops. hubs: nodes that are reached but not left, unless seeds."""
-    steps = edges.join(base_nodes.select(F.col("node_key").alias("dst_key")), "dst_key", "left_semi")
-    steps = steps.select(F.col("src_key").alias("node_key"), "dst_key", (F.lit(HOP) * strength(F.col("weight"), F.col("inferred"))).alias("keep"))
+    known = base_nodes.select("node_key")
+    steps = edges.select(F.col("src_key").alias("node_key"), "dst_key", (F.lit(HOP) * strength(F.col("weight"), F.col("inferred"))).alias("keep"))
     arrival = written(start.select("query_id", "node_key", F.col("score").alias("arrival"), F.lit(True).alias("seed")), "arrival")
     front = arrival
     for _ in range(depth):
         open_ = front.where("seed").unionByName(front.where("not seed").join(hubs, "node_key", "left_anti").select(*front.columns))
-        got = open_.join(steps, "node_key").groupBy("query_id", F.col("dst_key").alias("node_key")).agg(F.max(F.col("arrival") * F.col("keep")).alias("new"))
+        got = open_.join(steps, "node_key").groupBy("query_id", F.col("dst_key").alias("node_key")).agg(F.max(F.col("arrival") * F.col("keep")).alias("new")).join(known, "node_key", "left_semi")
         both = arrival.join(got, ["query_id", "node_key"], "full_outer")
         better = F.col("new").isNotNull() & (F.col("arrival").isNull() | (F.col("new") > F.col("arrival")))
         both = written(both.select("query_id", "node_key", F.when(better, F.col("new")).otherwise(F.col("arrival")).alias("arrival"), F.coalesce("seed", F.lit(False)).alias("seed"), better.alias("moved")), "arrival")
