@@ -17,6 +17,7 @@ from ..functions.text import idf, searchable_url, strength, terms, tier, token_c
 from ..sources.tables import unsigned, written
 
 HOP, LEXICAL, STRUCTURE, RENDER = 0.5, 0.8, 0.2, 12
+TEXTS = ("node_key", "url", "title", "snippet")
 
 
 @dataclass(frozen=True)
@@ -134,11 +135,12 @@ def anchors(of: DataFrame, hits: DataFrame, segments: DataFrame) -> DataFrame:
 
 
 def search(queries: DataFrame, nodes: DataFrame, edges: DataFrame, segments: DataFrame, postings: DataFrame,
-           hub_degree: DataFrame, hub_cut: int, n_base: int, how: QueryOptions = QueryOptions()) -> DataFrame:
+           hub_degree: DataFrame, hub_cut: int, n_base: int, how: QueryOptions = QueryOptions(), texts: DataFrame | None = None) -> DataFrame:
     """query_id, place, node_key, url, title, snippet, anchor, score, seed, cost of each query's hits.
 
     nodes: the merged view with in_base, base_stub, base_tombstone and permille.
     hub_degree: node_key, degree as of the last compaction.
+    texts: node_key, url, title, snippet of what hits show, one row for each document of a key; those of nodes, if not given.
     """
     of = written(query_terms(queries), "terms")
     found = written(contributions(of, postings, n_base), "found")
@@ -157,7 +159,7 @@ def search(queries: DataFrame, nodes: DataFrame, edges: DataFrame, segments: Dat
     order = W.partitionBy("query_id").orderBy(F.desc("seed"), F.desc(F.round("score", 9)), unsigned(F.col("node_key")))  # sums come in any order
     hits = fused.unionByName(new).withColumn("place", F.row_number().over(order)).where(F.col("place") <= how.limit)
     hits = written(hits, "hits")
-    shown = hits.join(nodes.select("node_key", "url", "title", "snippet"), "node_key").join(anchors(of, hits.select("query_id", "node_key"), segments), ["query_id", "node_key"], "left")
+    shown = hits.join((nodes if texts is None else texts).select(*TEXTS), "node_key").join(anchors(of, hits.select("query_id", "node_key"), segments), ["query_id", "node_key"], "left")
     shown = shown.withColumn("cost", token_cost(F.col("url"), F.col("title"), F.col("snippet"), F.col("anchor")))
     spent = F.sum("cost").over(W.partitionBy("query_id").orderBy("place").rowsBetween(W.unboundedPreceding, 0))
     return shown.withColumn("spent", spent).where(F.col("spent") <= how.budget).select("query_id", "place", "node_key", "url", "title", "snippet", "anchor", "score", "seed", "cost")
