@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 from pathlib import Path
 
 import duckdb
@@ -66,6 +67,37 @@ def test_paths_are_shortest_with_smallest_keys(spark):
     assert _paths(spark, steps, pairs, 6) == want
 
 
+def test_paths_searched_in_parts_are_the_same_and_leave_nothing(spark, monkeypatch):
+    """Hops that follow too many links are made for a part of the pairs after the other; fronts and shuffles go."""
+    dice = random.Random(4)
+    steps = sorted({(dice.randrange(90), dice.randrange(90)) for _ in range(230)})
+    pairs = list(itertools.product(range(90), range(1, 95, 3)))
+    want = _paths(spark, steps, pairs, 6)
+    assert {len(p) for p in want.values()} >= {3, 5, 6, 7} and len(want) < len(pairs)
+    env = spark.sparkContext._jvm.org.apache.spark.SparkEnv
+    shuffles = lambda: {n for n in map(str, env.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n")) if "shuffle_" in n}
+    fronts, keep, before = [], graph.written, shuffles()
+    monkeypatch.setattr(graph, "written", lambda df, label: fronts.append((label, keep(df, label))) or fronts[-1][1])
+    links, ends = spark.createDataFrame(steps, STEP), spark.createDataFrame(pairs, "from_key bigint, to_key bigint")
+    got = graph.path(links, ends, 6, most=100)
+    made = [df.inputFiles()[0].removeprefix("file:") for label, df in fronts if label in ("ahead", "behind")]
+    assert len(made) > 12 and not any(Path(f).exists() for f in made)
+    for _ in range(100):  # shuffles go in the background
+        left = shuffles() - before
+        if not left:
+            break
+        time.sleep(0.1)
+    assert not left and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) in (None, "false")
+    assert {(r["from_key"], r["to_key"]): r["path"] for r in got.collect()} == want
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="the driver's tables are not here")
+def test_links_move_once_for_each_direction(spark):
+    """Numbers, equal targets and the cap need one order: before, the same rows were shuffled six times."""
+    plan = queries.edges_of(spark, str(DATA))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 2
+
+
 def _community_graph(spark, n, links):
     ids = spark.createDataFrame([(100 + k, k) for k in range(n)], "node_key bigint, node_id bigint")
     edge = "src_key bigint, dst_key bigint, etype int, tier_enrich boolean, inferred boolean, weight int"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import strength
 from ..sources.schema import LINK
-from ..sources.tables import unsigned, written
+from ..sources.tables import freed, shuffles_freed, unsigned, written
 
 
 def neighbors(edges: DataFrame, nodes: DataFrame, key: int) -> DataFrame:
@@ -34,40 +34,78 @@ def _few(df: DataFrame, most: int = 100_000) -> bool:
     return df.limit(most + 1).count() <= most
 
 
-def path(edges: DataFrame, pairs: DataFrame, max_depth: int) -> DataFrame:
+def path(edges: DataFrame, pairs: DataFrame, max_depth: int, most: int = 10_000_000) -> DataFrame:
     """pairs: from_key, to_key. Returns from_key, to_key, path: of the shortest paths the one with the smallest keys.
 
     For all pairs at once, from both ends: links ahead of the start meet links behind the end,
     so that no end is followed further than half the depth. Each node keeps the smallest keys
     between the end and itself. A pair that has its path is followed no further.
+
+    Where a hop would follow more links than the graph has, and more than `most`, the pairs are
+    searched in parts, one after the other; each part's tables and shuffles go when it is done.
     """
     steps = edges.select("src_key", "dst_key")
-    pairs = written(pairs.select("from_key", "to_key").distinct(), "pairs")
-    found = [pairs.where("from_key = to_key").select("from_key", "to_key", F.array("from_key").alias("path"))]
-    left = pairs.where("from_key <> to_key")
-    ahead, behind = (left.select(F.col(c).alias("end"), F.col(c).alias("node")).distinct() for c in ("from_key", "to_key"))
-    out = back = 0  # links followed from the start, and from the end
-    for depth in range(1, max_depth + 1):
-        if depth % 2:
-            ahead, out = written(_followed(ahead, left.select(F.col("from_key").alias("end")), steps, out, False), "ahead"), out + 1
-        else:
-            behind, back = written(_followed(behind, left.select(F.col("to_key").alias("end")), steps, back, True), "behind"), back + 1
-        if (ahead if depth % 2 else behind).isEmpty():
+    with shuffles_freed(edges.sparkSession):
+        pairs = written(pairs.select("from_key", "to_key").distinct(), "pairs")
+        left = pairs.where("from_key <> to_key")
+        ahead, behind = (left.select(F.col(c).alias("end"), F.col(c).alias("node")).distinct() for c in ("from_key", "to_key"))
+        found = _searched(left, ahead, behind, 0, steps, max_depth, most)
+    return reduce(DataFrame.unionByName, found, pairs.where("from_key = to_key").select("from_key", "to_key", F.array("from_key").alias("path")))
+
+
+def _searched(left: DataFrame, ahead: DataFrame, behind: DataFrame, depth: int, steps: DataFrame, max_depth: int, most: int, part: bool = False) -> list[DataFrame]:
+    """Tables of the paths of left's pairs, whose ends have been followed along `depth` links. part: of pairs dealt for the next hop."""
+    found: list[DataFrame] = []
+    own: dict[bool, DataFrame] = {}  # the last front of each direction that was made here
+    for depth in range(depth + 1, max_depth + 1):
+        back = depth % 2 == 0
+        end, front, followed = ("to_key", behind, depth // 2 - 1) if back else ("from_key", ahead, depth // 2)
+        parts = 1 if part or not followed else _parts(front, left.select(F.col(end).alias("end")), steps, back, most)
+        if parts > 1:
+            deal = F.pmod(F.xxhash64(end, F.lit(depth)), F.lit(parts))
+            for k in range(parts):
+                found += _searched(left.where(deal == k), ahead, behind, depth - 1, steps, max_depth, most, True)
+            break
+        part = False
+        front = written(_followed(front, left.select(F.col(end).alias("end")), steps, followed, back), "behind" if back else "ahead")
+        freed(*[own.pop(back)] if back in own else [])
+        own[back] = front
+        ahead, behind = (ahead, front) if back else (front, behind)
+        if front.isEmpty():
             break
-        first, last = [f"a{k}" for k in range(1, out)], [f"b{k}" for k in range(1, back)]
-        met = left.join(ahead.select(F.col("end").alias("from_key"), "node", *[F.col(f"k{c[1:]}").alias(c) for c in first]), "from_key")
-        met = met.join(behind.select(F.col("end").alias("to_key"), "node", *[F.col(f"k{c[1:]}").alias(c) for c in last]), ["to_key", "node"])
-        between = [*first, *(["node"] if back else []), *last]
-        if between:
-            met = met.groupBy("from_key", "to_key").agg(F.min(F.struct(*[unsigned(F.col(c)).alias(c) for c in between])).alias("m"))
-        else:
-            met = met.distinct()
-        here = written(met.select("from_key", "to_key", F.array("from_key", *[unsigned(F.col(f"m.{c}")) for c in between], "to_key").alias("path")), "met")
+        here = written(_met(left, ahead, behind, depth), "met")
+        if here.isEmpty():
+            continue
         found.append(here)
         left = written(left.join(here, ["from_key", "to_key"], "left_anti"), "left")
         if left.isEmpty():
             break
-    return reduce(DataFrame.unionByName, found)
+    freed(*own.values())
+    return found
+
+
+def _parts(front: DataFrame, ends: DataFrame, steps: DataFrame, back: bool, most: int, small: int = 10_000) -> int:
+    """In how many parts a hop is made, so that each follows about as many links as the graph has, or as `most`."""
+    if front.count() <= min(small, most):
+        return 1
+    nodes = front.join(ends.distinct(), "end", "left_semi").groupBy("node").agg(F.count("*").alias("n"))
+    links = steps.groupBy(F.col("dst_key" if back else "src_key").alias("node")).agg(F.count("*").alias("d"))
+    total, follows = links.join(nodes, "node", "left").agg(F.sum("d"), F.sum(F.col("n") * F.col("d"))).first()
+    return max(1, round((follows or 0) / max(total or 0, most)))  # not ceil: a part a little above is not worth two
+
+
+def _met(left: DataFrame, ahead: DataFrame, behind: DataFrame, depth: int) -> DataFrame:
+    """from_key, to_key, path of the pairs of left whose fronts share a node, after `depth` links in all."""
+    back = depth // 2
+    first, last = [f"a{k}" for k in range(1, depth - back)], [f"b{k}" for k in range(1, back)]
+    met = left.join(ahead.select(F.col("end").alias("from_key"), "node", *[F.col(f"k{c[1:]}").alias(c) for c in first]), "from_key")
+    met = met.join(behind.select(F.col("end").alias("to_key"), "node", *[F.col(f"k{c[1:]}").alias(c) for c in last]), ["to_key", "node"])
+    between = [*first, *(["node"] if back else []), *last]
+    if between:
+        met = met.groupBy("from_key", "to_key").agg(F.min(F.struct(*[unsigned(F.col(c)).alias(c) for c in between])).alias("m"))
+    else:
+        met = met.distinct()
+    return met.select("from_key", "to_key", F.array("from_key", *[unsigned(F.col(f"m.{c}")) for c in between], "to_key").alias("path"))
 
 
 def _followed(front: DataFrame, ends: DataFrame, steps: DataFrame, depth: int, back: bool) -> DataFrame:
